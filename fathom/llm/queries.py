@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, secret_scan, sharding, token_counts
+from . import exact_dedup, jaccard_join, secret_scan, sharding, token_counts
 
 #: Folder of the public tokenizer files' module; a parameter, they are never copied.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
     "op9_token_counts": op9_token_counts,

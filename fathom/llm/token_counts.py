@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 #: Characters of a chunk and of the overlap of neighbouring chunks.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: Words whose counts a worker keeps, and the longest word that it keeps.
-KEPT_WORDS, KEPT_CHARS = 400_000, 64
+KEPT_WORDS, KEPT_CHARS = 1_000_000, 64
 #: White space that str.split, the normaliser and the pre-tokenizer all take as a boundary.
 STABLE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: Characters that str.split takes as white space and the pre-tokenizer does not.
+UNSTABLE = re.compile("[\x1c-\x1f]")
 
 
 class WordCounter:
@@ -35,26 +37,26 @@ class WordCounter:
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
 
-    def count(self, words: list[str]) -> int:
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            new = list(new)
-            counts = [len(e) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                fresh = dict(zip(new, counts))
-                return self._mixed(words, fresh)
-            known.update(zip(new, counts))
-        return sum(map(known.__getitem__, words))
-
-    def _mixed(self, words: list[str], fresh: dict[str, int]) -> int:
-        rest = list({w for w in words if w not in fresh})
-        fresh.update(zip(rest, (len(e) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)) if rest else ()))
-        total = sum(map(fresh.__getitem__, words))
-        self.known.update((w, n) for w, n in fresh.items() if len(w) <= KEPT_CHARS and len(self.known) < KEPT_WORDS // 2)
+    def count(self, text: str) -> int:
+        """Tokens of a text between stable boundaries."""
+        words, known = self._words(text), self.known
+        new = list({w for w in words if w not in known})
+        if not new:
+            return sum(map(known.__getitem__, words))
+        counts = dict(zip(new, (len(e) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        total = sum(counts[w] if w in counts else known[w] for w in words)
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+        known.update((w, n) for w, n in counts.items() if len(w) <= KEPT_CHARS)
         return total
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """The tokenizer lower-cases all but special tokens, so an ASCII text without these is lower-cased first."""
+        if UNSTABLE.search(text):
+            return STABLE.split(text)
+        return (text.lower() if text.isascii() and "<|" not in text else text).split()
+
 
 def resync_spans(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
     """Spans that cover text, cut at stable boundaries found in the overlap of neighbouring chunks.
@@ -84,8 +86,8 @@ def resync_spans(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Itera
 def count_text(counter: WordCounter, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of the whole text; equal to encoding it in one piece."""
     if len(text) <= chunk:
-        return counter.count(STABLE.split(text))
-    return sum(counter.count(STABLE.split(text[a:b])) for a, b in resync_spans(text, chunk, overlap))
+        return counter.count(text)
+    return sum(counter.count(text[a:b]) for a, b in resync_spans(text, chunk, overlap))
 
 
 _counters: dict[str, WordCounter] = {}
