@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, jaccard_join, secret_scan, sharding, token_counts
+from . import exact_dedup, html_text, jaccard_join, quality, secret_scan, sharding, token_counts
 
 #: Folder of the public tokenizer files' module; a parameter, they are never copied.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -49,6 +58,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_html_text": op3_html_text,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
