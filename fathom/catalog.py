@@ -262,7 +262,7 @@ def vec_filtered_topk(spark, d):
     return similarity.top_k(parquet(spark, d, "embeddings"), "embedding", _probe(spark, d), 10, "vec_id", F.col("label") == 3).select("vec_id", "label", F.round("score", 9).alias("score"))
 
 
-@add("vec_centroid_by_label", "SELECT label, "at", round(avg(x / n), 9) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS "at", sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings) GROUP BY 1, 2")
+@add("vec_centroid_by_label", "SELECT label, \"at\", round(avg(x / n), 9) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS \"at\", sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings) GROUP BY 1, 2")
 def vec_centroid_by_label(spark, d):
     own = V.centroids(parquet(spark, d, "embeddings"), ["label"], "embedding")
     return own.select("label", F.posexplode("centroid").alias("at", "mean")).select("label", F.col("at").cast("long").alias("at"), F.round("mean", 9).alias("mean"))
