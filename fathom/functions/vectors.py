@@ -59,7 +59,7 @@ def centroids(df: DataFrame, keys: list[str], vector: str, out: str = "centroid"
 def decay(when: Column, now: Column) -> Column:
     """Recency from 1 down, halved every HALF_LIFE_DAYS; null if the time is null or not a time."""
     days = (now.cast("timestamp").cast("double") - when.cast("timestamp").cast("double")) / 86400.0
-    return F.least(F.lit(1.0), F.pow(F.lit(0.5), days / HALF_LIFE_DAYS))
+    return F.when(days.isNotNull(), F.least(F.lit(1.0), F.pow(F.lit(0.5), days / HALF_LIFE_DAYS)))
 
 
 def fuse(base: Column, centroid: Column | None = None, recency: Column | None = None) -> Column:

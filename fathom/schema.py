@@ -141,7 +141,7 @@ def check(t: EntityType, require_tenant: bool = True) -> None:
             bad(f"'{n}' is not an identifier")
     if not t.key:
         bad("a key is required")
-    if len({n.lower() for n in t.names}) != len(t.names):
+    if len({c.name.lower() for c in t.columns}) != len(t.columns):
         bad("two columns have one name")
     if require_tenant and not t.tenant_field:
         bad("a tenant field is required")
