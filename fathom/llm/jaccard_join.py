@@ -10,7 +10,8 @@ those whose folded sketches differ too much go, the others are verified on their
 
 Equal sets are one class from the start. A part that many classes share is not expanded into all pairs: its members
 are held against one hub, and if some of these fail, against each other in blocks of fixed size inside a task that
-returns linking pairs only. So the result is exact, with no cap on buckets or partners.
+orders possible partners by sketch; those not of one component yet are verified in rounds, the nearest first, until
+none is left. So the result is exact, with no cap on buckets or partners.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .shingles import mix, shingle_set
 BAND_RATIO = 1.5
 #: Members of a shared part up to which all its pairs are candidates; members of a block beyond it; pairs of one task's hub.
 PAIRS_UP_TO, BLOCK, HUB_ROWS = 6, 256, 128
+#: Nearest possible partners that are verified first; each further round takes eight times as many.
+FIRST_RANKS = 8
 #: Bits of the folded sketch that screens candidates.
 FOLD_BITS = 1024
 #: Classes other than the least are broadcast up to so many bytes on disk.
@@ -166,52 +169,50 @@ def _against_hub(width: int, percent: int):
     return run
 
 
-def _blocks(width: int, percent: int):
-    """Rows (key, i, j, side, id, label, text) sorted by (key, i, j): pairs that link differently labelled members."""
-
-    def links(ids: list, labels: list, sides: list, sets: list, crossing: bool) -> list[tuple[int, int]]:
-        root = {}
-
-        def top(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        sizes = np.array([len(s) for s in sets])
-        bits = np.unpackbits(np.stack([np.frombuffer(folded(s), np.uint8) for s in sets]), axis=1).astype(np.float32)
-        ones, found = bits.sum(axis=1), []
-        left = [i for i in range(len(ids)) if not crossing or not sides[i]]
-        right = np.array([i for i in range(len(ids)) if not crossing or sides[i]])
-        if not left or not len(right):
-            return found
-        shared = bits[left] @ bits[right].T
-        for row, i in enumerate(left):
-            differ = ones[i] + ones[right] - 2 * shared[row]
-            near = (differ <= (sizes[i] + sizes[right]) * (100 - percent) // (100 + percent) + 0.5) & (np.minimum(sizes[i], sizes[right]) * 100 >= np.maximum(sizes[i], sizes[right]) * percent)
-            for j in right[near]:
-                if (crossing or j > i) and top(labels[i]) != top(labels[j]) and linked(sets[i], sets[j], percent):
-                    root[top(labels[i])] = top(labels[j])
-                    found.append((ids[i], ids[j]))
-        return found
+def _blocks(percent: int, low: int, high: int):
+    """Rows (key, i, j, side, id, label, n, fold) sorted by these: pairs of members with different labels to verify.
+
+    Each member's possible partners are ordered by the distance of the folded sketches; pairs of ranks low to high - 1
+    come out, and a row without b if a pair of a higher rank is left.
+    """
+
+    def pairs(rows: list[tuple], crossing: bool) -> tuple[list[tuple], bool]:
+        sides, ids, labels, sizes = (np.array([r[k] for r in rows]) for k in range(4))
+        left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if crossing else (np.arange(len(rows)),) * 2
+        if not len(left) or not len(right):
+            return [], False
+        bits = np.unpackbits(np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+        ones = bits.sum(axis=1)
+        apart = ones[left][:, None] + ones[right] - 2 * (bits[left] @ bits[right].T)
+        a, b = sizes[left][:, None], sizes[right]
+        near = (apart <= (a + b) * (100 - percent) // (100 + percent) + 0.5) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+        if not crossing:
+            near &= right > left[:, None]
+        found, more = [], False
+        for i in np.flatnonzero((near & (labels[left][:, None] != labels[right])).any(axis=1)):
+            some = np.flatnonzero(near[i])
+            some = some[np.argsort(apart[i][some], kind="stable")]
+            other = labels[right[some]] != labels[left[i]]
+            found += [(int(ids[left[i]]), int(ids[right[j]])) for j in some[low:high][other[low:high]]]
+            more |= bool(other[high:].any())
+        return found, more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def flush():
-            ids, labels, sides, sets = ([r[k] for r in rows] for k in range(4))
-            found = links(ids, labels, sides, sets, now[1] != now[2])
+            found, more = pairs(rows, now[1] != now[2]) if len(rows) > 1 else ([], False)
+            found += [(0, None)] * more
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for key, i, j, side, one, label, text in zip(*cols, batch.column(6).cast(pa.binary())):
+            for key, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if (key, i, j) != now:
-                    if len(rows) > 1:
+                    if rows:
                         yield flush()
                     now, rows = (key, i, j), []
-                rows.append((one, label, side, shingle_set(text.as_py(), width)))
-        if len(rows) > 1:
+                rows.append(row)
+        if rows:
             yield flush()
 
     return run
@@ -266,20 +267,28 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
     held, held_at = scratch.keep(docs.join(needed, "id").groupBy("id").agg(F.first("text").alias("text")))
     edges, edges_at = scratch.keep(_verified(pairs, held, width, percent))
 
-    # members that link with the hub of their part are labelled by it; parts with other labels left go on in blocks
-    found = edges.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("ok"))
-    labelled = large.join(heads, "key").join(found, ["hub", "id"], "left")
-    labelled = labelled.select("key", "id", "hub", "size", F.when(F.col("ok") | (F.col("id") == F.col("hub")), F.col("hub")).otherwise(F.col("id")).alias("label"))
-    mixed = labelled.groupBy("key").agg(F.max("size").alias("members"), F.count_if(F.expr("label = id AND id <> hub")).alias("failed")).where("failed > 0")
-    rest = labelled.drop("size", "hub").join(mixed.select("key", "members"), "key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = rest.select("key", "id", "label", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("key", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), F.when(F.col("i") > F.col("o"), 1).otherwise(0).alias("side"), "id", "label")
-    dealt = dealt.join(held, "id").select("key", "i", "j", "side", "id", "label", "text")
-    more, _ = scratch.keep(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(width, percent), "a long, b long"))
+    # parts whose members are not of one component yet go on in blocks, nearest partners first
+    sizes, sizes_at = scratch.keep(large.join(screen, "id"))
+    low, high, spent = 0, FIRST_RANKS, []
+    while True:
+        roots = components(edges)
+        labelled = sizes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
+        mixed = labelled.groupBy("key").agg(F.max("size").alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
+        rest = labelled.join(mixed.select("key", "members"), "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        rest = rest.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+        dealt = dealt.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") > F.col("o"), 1).otherwise(0).alias("side"), "id", "label", "n", "fold")
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
+        found, found_at = scratch.keep(dealt.mapInArrow(_blocks(percent, low, high), "a long, b long"))
+        new, new_at = scratch.keep(_verified(found.where("b IS NOT NULL").distinct(), held, width, percent))
+        edges = edges.unionAll(new)
+        spent += [found_at]
+        if found.where("b IS NULL").isEmpty():
+            break
+        low, high = high, high * 8
+    scratch.drop(spark, sizes_at, *spent)
     scratch.drop(spark, shared_at, heads_at, pairs_at, needed_at, held_at, gone_at)
-    return features.select("id", "n").join(classes.select("id", "rep").distinct(), "id", "left"), edges.unionAll(more)
+    return features.select("id", "n").join(classes.select("id", "rep").distinct(), "id", "left"), edges
 
 
 def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
