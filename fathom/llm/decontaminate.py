@@ -85,7 +85,7 @@ def align(item: np.ndarray, window: np.ndarray) -> int:
         here = np.maximum(above[:-1] + np.where(window == word, MATCH, MISMATCH), above[1:] + GAP)
         here = np.maximum(here, 0)
         here = np.maximum.accumulate(here + steps) - steps
-        best = max(best, int(here.max()))
+        best = max(best, int(here.max(initial=0)))
         above[1:] = here
     return best
 

@@ -83,6 +83,7 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns; rows that repeat an id and text stay together."""
-    gone = dedup_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.sha2(F.encode(F.coalesce(df[text_col], F.lit("")), "UTF-8"), 256)
-    return df.join(gone, df[id_col].eqNullSafe(F.col("_gone")) & (sha == F.col("_gone_sha")), "left_anti")
+    key, sha = scratch.fresh(df, "_gone"), scratch.fresh(df, "_gone_sha")
+    gone = dedup_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).distinct()
+    own = F.sha2(F.encode(F.coalesce(df[text_col], F.lit("")), "UTF-8"), 256)
+    return df.join(gone, df[id_col].eqNullSafe(F.col(key)) & (own == F.col(sha)), "left_anti")

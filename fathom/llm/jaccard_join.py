@@ -307,5 +307,6 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id is the least of its component, with all their columns; rows without id or words stay."""
-    gone = jaccard_components(df, width, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    key = scratch.fresh(df, "_gone")
+    gone = jaccard_components(df, width, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return df.join(gone, df[id_col] == F.col(key), "left_anti")

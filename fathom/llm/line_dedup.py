@@ -43,13 +43,14 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     lines are never boilerplate and stay. A null host is a host of its own; a null text stays null. Repeated rows are
     one page and all lose the same lines.
     """
-    lines, at = scratch.keep(boilerplate(df, host_col, text_col, ratio, least_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_lines")))
+    host, found = scratch.fresh(df, "_host"), scratch.fresh(df, "_lines")
+    lines, at = scratch.keep(boilerplate(df, host_col, text_col, ratio, least_pages).select(F.col("host").alias(host), F.col("lines").alias(found)))
     if scratch.table_bytes(df.sparkSession, at) <= BROADCAST_BYTES:
         lines = F.broadcast(lines)
-    joined = df.join(lines, df[host_col].eqNullSafe(F.col("_host")), "left")
-    left = F.filter(F.split(df[text_col], "\n"), lambda x: (_bare(x) == "") | ~F.array_contains(F.col("_lines"), _hash(x)))
-    text = F.when(F.col("_lines").isNull() | df[text_col].isNull(), df[text_col]).otherwise(F.array_join(left, "\n"))
+    joined = df.join(lines, df[host_col].eqNullSafe(F.col(host)), "left")
+    left = F.filter(F.split(df[text_col], "\n"), lambda x: (_bare(x) == "") | ~F.array_contains(F.col(found), _hash(x)))
+    text = F.when(F.col(found).isNull() | df[text_col].isNull(), df[text_col]).otherwise(F.array_join(left, "\n"))
     out = joined.withColumn(text_col, text)
     if chars_col in df.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(df.schema[chars_col].dataType))
-    return out.select(*df.columns)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])

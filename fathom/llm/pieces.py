@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .shingles import mix
 
@@ -290,4 +290,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "piece_ids", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
     kept = df.drop(text_col)
-    return kept.mapInArrow(run, kept.schema.add(text_col, "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(text_col, T.StringType())]))
