@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..errors import QueryError
 from ..schema import EntityType
@@ -43,17 +44,18 @@ def get_many(ctx: Context, type_name: str, keys: Sequence) -> DataFrame:
     seen: dict[str, str] = {}
     for k in keys:
         seen.setdefault(str(k).lower(), str(k))
-    asked = spark.createDataFrame([(i, k) for i, k in enumerate(seen.values())] or [], "position int, requested_key string")
+    wanted = list(seen.values())
+    asked = spark.createDataFrame(pa.table({"position": pa.array(range(len(wanted)), pa.int32()), "requested_key": pa.array(wanted, pa.string())})).coalesce(1)
     rows = _visible(ctx, t)
-    kind = rows.schema[t.key].dataType.simpleString()
-    if kind == "string":
-        on = F.lower(F.col(f"`{t.key}`")) == F.lower("requested_key")
-        hits = rows.where(F.lower(F.col(f"`{t.key}`")).isin(list(seen)))
+    own, kind = F.col(f"`{t.key}`"), rows.schema[t.key].dataType
+    if isinstance(kind, T.StringType):
+        on, hits = F.lower(own) == F.lower("requested_key"), rows.where(F.lower(own).isin(list(seen)))
+    elif isinstance(kind, T.IntegralType):
+        on, hits = own == F.col("requested_key").cast(kind), rows.where(own.isin([int(k) for k in wanted if k.lstrip("-").isdigit()]))
     else:
-        on = F.col(f"`{t.key}`") == F.col("requested_key").cast(kind)
-        hits = rows.where(F.col(f"`{t.key}`").isin([F.lit(k).cast(kind) for k in seen.values()])) if seen else rows.where(F.lit(False))
-    # the request is as long as its list of keys, which the caller sent; the filter reaches the scan
-    return F.broadcast(asked).join(hits, on, "left").select("position", "requested_key", F.col(f"`{t.key}`").isNotNull().alias("found"), *rows.columns).orderBy("position")
+        on, hits = own == F.col("requested_key").cast(kind), rows.where(own.isin([F.lit(k).cast(kind) for k in wanted]))
+    # keys are unique, so there are at most as many hits as keys in the request; the filter reaches the scan
+    return asked.join(F.broadcast(hits), on, "left").select("position", "requested_key", own.isNotNull().alias("found"), *rows.columns).orderBy("position")
 
 
 def by_foreign_key(ctx: Context, type_name: str, column: str, value) -> DataFrame:
