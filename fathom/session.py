@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 # Division by zero and bad casts give NULL, names ignore case, instants are UTC.
@@ -19,10 +21,20 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    return spark
+    return share_code(spark)
 
 
 def local(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and small runs."""
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", partitions)
     return configure(builder.config(map=SETTINGS).getOrCreate())
+
+
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, whatever folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark

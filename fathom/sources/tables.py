@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import EntityType, Registry
+from ..session import share_code
 
 #: The test tables and their keys.
 KEYS = {
@@ -16,7 +17,7 @@ KEYS = {
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return share_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, names: Iterable[str], **types: EntityType) -> tuple[Registry, dict[str, DataFrame]]:
