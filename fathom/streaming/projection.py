@@ -159,3 +159,24 @@ def template_summary(text: str, size: int = 200) -> str:
     head = text[:size]
     return head[: head.rfind(".") + 1] or head
 
+
+
+def dead_counts(rows: DataFrame) -> DataFrame:
+    """(unreplayed, replayed)."""
+    return rows.agg(F.count_if(~F.col("replayed")).alias("unreplayed"), F.count_if("replayed").alias("replayed"))
+
+
+def keep_running(start: Callable[[], object], wait: float = 10.0, restarts: int | None = None) -> int:
+    """Start a streaming query and wait for it; start it again, from its checkpoint, whenever it fails. Gives the restarts."""
+    import time
+
+    done = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return done
+        except Exception:
+            if restarts is not None and done >= restarts:
+                raise
+            done += 1
+            time.sleep(wait)
