@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,12 +29,16 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HIDDEN = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "math", "title"}
 CHROME = {"nav", "footer", "aside", "form", "menu", "button", "select", "textarea", "input", "label", "dialog", "fieldset", "option", "datalist"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form", "note"}
-#: Words of a class or id that mark chrome.
-CHROME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|search|share|sharing|social|comments?|disqus|discussion|replies|reply|respond|related|recommended|recirc|widget|toolbar|pagination|pager|skip|alert|copyright|legal)(?=$|[\s_-])",
-    re.I,
-)
+#: Words of a class or id that mark chrome: anywhere, and outside the content container only.
+CHROME_WORDS = {
+    "comment", "comments", "commentlist", "disqus", "discussion", "reply", "replies", "respond", "related", "recommended", "recirc", "share", "sharing", "social", "newsletter", "subscribe", "signup",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "pagination", "pager", "breadcrumb", "breadcrumbs",
+    "nav", "navbar", "navigation", "menu", "sidebar", "notice", "notices", "login",
+}
+OUTER_WORDS = {"header", "masthead", "footer", "side", "aside", "banner", "overlay", "search", "widget", "toolbar", "skip", "alert", "copyright", "legal", "topbar"}
+#: Words that say an element goes without or beside what follows, such as has-sidebar.
+BESIDE_WORDS = {"has", "no", "with", "without", "is", "not"}
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements that end an open element of the same kind: the end tag may be left out.
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Elements past which a missing end tag is not looked for.
@@ -46,13 +51,23 @@ INNER_SHARE = 0.5
 _WHITE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=4096)
+def marked_chrome(marks: str, inside: bool) -> bool:
+    """Whether a class or id names chrome: a token of it has such a word, and none that turns it around."""
+    for token in marks.split():
+        parts = {p.lower() for p in _PARTS.findall(token)}
+        if parts & (CHROME_WORDS if inside else CHROME_WORDS | OUTER_WORDS) and not parts & BESIDE_WORDS:
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Cuts a page into lines: (text, tags inside, containers around by number, whether it is chrome)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, number of its container or 0, chrome, hidden
+        self.open: list[tuple[str, int, int, bool]] = []  # name, number of its container or 0, chrome (1 by class, 2 for sure), hidden
         self.names: list[str] = [""]
         self.text: list[str] = []
         self.tags = 0
@@ -79,18 +94,21 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         own = dict(attrs)
-        above = self.open[-1] if self.open else ("", 0, False, False)
+        above = self.open[-1] if self.open else ("", 0, 0, False)
         inside = any(x[0] in CONTAINERS for x in self.open)
-        marked = f"{own.get('class') or ''} {own.get('id') or ''}"
-        chrome = tag in CHROME or (tag == "header" and not inside) or (own.get("role") or "").lower() in CHROME_ROLES or (tag not in ("html", "body", *CONTAINERS) and bool(CHROME_WORDS.search(marked)))
+        container = tag in CONTAINERS or own.get("role") in ("main", "article")
+        hard = tag in CHROME or (tag == "header" and not inside) or (own.get("role") or "").lower() in CHROME_ROLES
+        soft = tag not in ("html", "body") and not container and marked_chrome(f"{own.get('class') or ''} {own.get('id') or ''}", inside)
+        # a class around the whole article marks the layout, not the article; around comments inside it, the comments
+        chrome = max(0 if container and above[2] == 1 and not inside else above[2], 2 * hard, soft)
         hidden = tag in HIDDEN or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "").lower()
         number = 0
         if tag in CONTAINERS or tag in ("body", "div", "section", "td") or own.get("role") in ("main", "article"):
             self.names.append("main" if own.get("role") == "main" else "article" if own.get("role") == "article" else tag)
             number = len(self.names) - 1
-        if chrome != above[2] and tag not in BLOCKS and tag not in HIDDEN:
+        if bool(chrome) != bool(above[2]) and tag not in BLOCKS and tag not in HIDDEN:
             self.end_line()
-        self.open.append((tag, number, chrome or above[2], hidden or above[3]))
+        self.open.append((tag, number, chrome, hidden or above[3]))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -104,7 +122,7 @@ class Lines(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
-                turned = len(self.open) and self.open[-1][2:] != (self.open[k - 1][2:] if k else (False, False))
+                turned = len(self.open) and self.open[-1][2:] != (self.open[k - 1][2:] if k else (0, False))
                 if tag in BLOCKS or tag in HIDDEN or turned:
                     self.end_line()
                 del self.open[k:]

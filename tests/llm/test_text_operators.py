@@ -111,6 +111,12 @@ def test_chrome_goes_and_short_blocks_stay():
     assert [html_text.main_text(x) for x in (None, "", "<nav>a</nav>", "plain", "<p>a &lt;b", "<p hidden>x</p>")] == ["", "", "", "plain", "a <b", ""]
 
 
+def test_classes_of_layout_and_of_comments():
+    page = "<body class='has-sidebar'><div class='page with-sidebar'><div class='banner-layout'><article><div class='entry-header'><h1>T</h1></div><p>Text one.</p><div class='comments'><article><p>no</p></article></div></article></div></div></body>"
+    assert html_text.main_text(page) == "T\n\nText one."
+    assert html_text.main_text("<div id=top-menu>m</div><div class='cookieNotice'>c</div><section class='post-body'><p>One.</p></section><div class='comment-list'><p>c1</p></div>") == "One."
+
+
 def test_pages_query(spark, tmp_path):
     rows = [(1, "u", None, 1), (1, "u", None, 1), (2, None, "", 1), (None, "v", "<p>é" + " x" * 100_000, 1)]
     spark.createDataFrame(rows, "page_id long, url string, html string, text int").write.parquet(f"{tmp_path}/pages.parquet")
