@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import share_code
-from . import exact_dedup, html_text, jaccard_join, quality, secret_scan, sharding, token_counts
+from . import decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pieces, quality, secret_scan, sharding, token_counts
 
 #: Folder of the public tokenizer files' module; a parameter, they are never copied.
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +27,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the lines that its source repeats taken out."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -50,6 +56,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's piece ids under seeded merge-dropout."""
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL)).select("doc_id", "n_pieces", "piece_ids")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of document and benchmark item that it holds, with the alignment's part of the item."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -60,16 +76,33 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_html_text": op3_html_text,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
+    "op7_pieces": op7_pieces,
+    "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-#: Slots and shards of op6 need a CRC-32, and op5 and op9 code, that DuckDB lacks.
+#: The other operators are beyond SQL: slots and shards of op6 need a CRC-32 that DuckDB lacks, the rest code.
 ORACLE_SQL = {
+    "op2_line_dedup": f"""
+        WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+        pages AS (SELECT source, count(DISTINCT text) AS total FROM documents GROUP BY 1),
+        common AS (
+            SELECT l.source, trim(l.line, ' ' || chr(9) || chr(13)) AS line FROM lines l JOIN pages p ON l.source = p.source
+            WHERE trim(l.line, ' ' || chr(9) || chr(13)) <> '' GROUP BY 1, 2, p.total
+            HAVING count(DISTINCT l.text) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT l.text) > {line_dedup.RATIO} * p.total
+        ),
+        kept AS (
+            SELECT doc_id, string_agg(l.line, chr(10) ORDER BY at) AS text FROM lines l
+            LEFT JOIN common c ON l.source = c.source AND trim(l.line, ' ' || chr(9) || chr(13)) = c.line WHERE c.line IS NULL GROUP BY 1
+        )
+        SELECT d.doc_id, coalesce(k.text, '') AS text, length(coalesce(k.text, '')) AS n_chars FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
