@@ -90,7 +90,7 @@ QUERIES = {
 #: The other operators are beyond SQL: slots and shards of op6 need a CRC-32 that DuckDB lacks, the rest code.
 ORACLE_SQL = {
     "op2_line_dedup": f"""
-        WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+        WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
         pages AS (SELECT source, count(DISTINCT text) AS total FROM documents GROUP BY 1),
         common AS (
             SELECT l.source, trim(l.line, ' ' || chr(9) || chr(13)) AS line FROM lines l JOIN pages p ON l.source = p.source
@@ -98,7 +98,7 @@ ORACLE_SQL = {
             HAVING count(DISTINCT l.text) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT l.text) > {line_dedup.RATIO} * p.total
         ),
         kept AS (
-            SELECT doc_id, string_agg(l.line, chr(10) ORDER BY at) AS text FROM lines l
+            SELECT doc_id, string_agg(l.line, chr(10) ORDER BY place) AS text FROM lines l
             LEFT JOIN common c ON l.source = c.source AND trim(l.line, ' ' || chr(9) || chr(13)) = c.line WHERE c.line IS NULL GROUP BY 1
         )
         SELECT d.doc_id, coalesce(k.text, '') AS text, length(coalesce(k.text, '')) AS n_chars FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
