@@ -103,6 +103,32 @@ ORACLE_SQL = {
         )
         SELECT d.doc_id, coalesce(k.text, '') AS text, length(coalesce(k.text, '')) AS n_chars FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
+    "op3_html_text": r"""
+        WITH parts AS (SELECT page_id, regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS part FROM pages),
+        blocks AS (SELECT page_id, unnest(part) AS block, generate_subscripts(part, 1) AS place FROM parts),
+        plain AS (
+            SELECT page_id, place, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(block, '<[^>]+>', ' ', 'g'),
+                   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM blocks
+        ),
+        joined AS (SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY place) AS text FROM plain WHERE block <> '' GROUP BY 1)
+        SELECT p.page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages p LEFT JOIN joined j ON p.page_id = j.page_id
+    """,
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            WHERE x.n * 100 >= y.n * 85 AND y.n * 100 >= x.n * 85 GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+        ),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN least ON a = d.doc_id
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
