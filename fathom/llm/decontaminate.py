@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shingles import ngram_hashes, word_hashes
 
-#: Words of a seed, part of an item's n-grams that are seeds (the rarest, and at least so many), part of an item's length that an alignment must score.
-NGRAM, RARE_PART, LEAST_SEEDS, CUT = 3, 0.75, 12, 0.5
+#: Words of a seed, part of an item's n-grams that are seeds (the rarest, and at least so many), part of an item's length that an alignment must score, and its least score (or the whole item).
+NGRAM, RARE_PART, LEAST_SEEDS, CUT, LEAST_SCORE = 3, 0.75, 12, 0.4, 6
 #: Points of a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 1, -1, -1
 #: Items are taken in blocks of so many bytes, so what is sent to each task has a bound.
@@ -113,7 +113,7 @@ def leaks_in(text: np.ndarray, items: Items, cut: float = CUT) -> dict[int, floa
         for group in np.split(starts, cuts):
             score = align(item, text[max(0, group[0] - slack) : group[-1] + len(item) + slack]) / len(item)
             out[int(k)] = max(out.get(int(k), 0.0), score)
-    return {k: s for k, s in out.items() if s >= cut}
+    return {k: s for k, s in out.items() if s >= cut and s * (n := len(items.words[k])) >= min(n, LEAST_SCORE) - 1e-9}
 
 
 def _counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
