@@ -47,7 +47,7 @@ def test_ids():
 
 def test_passages():
     assert V.split_passages("") == [] and V.split_passages(None) == []
-    assert V.split_passages("abcd efgh ijkl", 2, 0) == ["abcd", "fgh", ""] or V.split_passages("abcd efgh ijkl", 2, 0)[0] == "abcd"
+    assert V.split_passages("abcd efgh ijkl", 2, 0) == ["abcd", "h ijkl"]
 
 
 @settings(deadline=None, max_examples=50)
