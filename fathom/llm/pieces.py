@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import scratch
 from .shingles import mix
 
 SPACE = "▁"
@@ -26,6 +27,8 @@ SPACE = "▁"
 RATE, SEED, VARIANTS = 0.1, 1, 4
 #: Symbols from which a word is processed by a heap, and words in one numpy batch.
 LONG_WORD, BATCH_WORDS = 192, 40_000
+#: Rows of an Arrow batch that are encoded at once.
+SLICE_ROWS = 128
 _CHUNK = re.compile(" *[^ ]+| +")
 _NONE = np.int64(1) << np.int64(62)
 
@@ -263,20 +266,24 @@ def encode(df: DataFrame, path: str, rate: float = RATE, seed: int = SEED, id_co
     encoded whole. Rows that repeat id and text get the same pieces. Columns of df named like a new one are replaced.
     """
 
-    @F.pandas_udf("array<int>")
-    def pieces(ids, texts):
-        import pandas as pd
+    kept = [c for c in df.columns if c.lower() not in {text_col.lower(), ids_col.lower(), count_col.lower()}]
+    own = df.select(*[df[c] for c in kept], df[id_col].cast("string").alias(scratch.fresh(df, "_key")), F.coalesce(df[text_col], F.lit("")).alias(scratch.fresh(df, "_piece_text")))
+    schema = T.StructType([*own.schema[: len(kept)], T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(count_col, T.IntegerType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        out = []
-        for at in range(0, len(texts), 256):
-            keys = [zlib.crc32(str(i).encode()) for i in ids[at : at + 256]]
-            out += [x.astype(np.int32) for x in own.encode_batch(texts[at : at + 256].tolist(), keys, rate, seed)]
-        return pd.Series(out, dtype=object)
-
-    kept = [c for c in df.columns if c.lower() not in {text_col.lower(), ids_col.lower(), count_col.lower()}]
-    coded = df.select(*kept, pieces(df[id_col].cast("string"), F.coalesce(df[text_col], F.lit(""))).alias(ids_col))
-    return coded.withColumn(count_col, F.size(ids_col))
+        for batch in batches:
+            # a slice's pieces leave the worker before the next slice is encoded
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                keys = [zlib.crc32(str(i).encode()) for i in part.column(len(kept)).to_pylist()]
+                coded = own.encode_batch(part.column(len(kept) + 1).to_pylist(), keys, rate, seed)
+                counts = np.array([len(x) for x in coded], np.int32)
+                flat = pa.array(np.concatenate(coded).astype(np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, pa.array(counts)], [*kept, ids_col, count_col])
+
+    return own.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "piece_ids", text_col: str = "text") -> DataFrame:
