@@ -183,21 +183,21 @@ grouping("groupby_not", "orders", lambda g: g.not_("o_orderstatus", Op.EQUALS, "
 
 # --- pipelines
 
-piping("pipe_topn", "orders", lambda p: p.step("ranked", lambda s: s.row_number("rn", order_by="o_orderkey", descending=True, partition_by="o_custkey")).step("top", lambda s: s.where("rn", Op.LESS_THAN_OR_EQUALS, 2)).limit(100000), f"SELECT {ORDER}, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn <= 2")
-piping("pipe_filter_agg_having", "orders", lambda p: p.where("o_totalprice", Op.GREATER_THAN_OR_EQUALS, 1000).step("per", lambda s: s.group_by("o_custkey").count_all("n").max("o_totalprice", "most").having("n", Op.GREATER_THAN_OR_EQUALS, 12)), "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_totalprice >= 1000 GROUP BY 1 HAVING count(*) >= 12")
+piping("pipe_topn", "orders", lambda p: p.step("ranked", lambda s: s.row_number("rn", order_by="o_orderkey", descending=True, partition_by="o_custkey")).step("top", lambda s: s.where("rn", Op.LESS_THAN_OR_EQUALS, 2)).all_rows(), f"SELECT {ORDER}, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn <= 2")
+piping("pipe_filter_agg_having", "orders", lambda p: p.where("o_totalprice", Op.GREATER_THAN_OR_EQUALS, 1000).step("per", lambda s: s.group_by("o_custkey").count_all("n").max("o_totalprice", "most").having("n", Op.GREATER_THAN_OR_EQUALS, 12)).all_rows(), "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_totalprice >= 1000 GROUP BY 1 HAVING count(*) >= 12")
 piping("pipe_running_sum", "orders", lambda p: p.step("months", lambda s: s.group_by("o_orderdate", "month").count_all("n")).step("total", lambda s: s.running_sum("so_far", "n", order_by="o_orderdate_month")), "SELECT o_orderdate_month, n, CAST(sum(n) OVER (ORDER BY o_orderdate_month) AS BIGINT) AS so_far FROM (SELECT date_trunc('month', o_orderdate) AS o_orderdate_month, count(*) AS n FROM orders GROUP BY 1)")
-piping("pipe_running_sum_ties", "customer", lambda p: p.step("t", lambda s: s.running_sum("so_far", "c_custkey", order_by="c_mktsegment", partition_by="c_nationkey").select(lambda x: x.pick("base", "c_custkey"))), "SELECT c_custkey, CAST(sum(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS so_far FROM customer")
+piping("pipe_running_sum_ties", "customer", lambda p: p.step("t", lambda s: s.running_sum("so_far", "c_custkey", order_by="c_mktsegment", partition_by="c_nationkey").select(lambda x: x.pick("base", "c_custkey"))).all_rows(), "SELECT c_custkey, CAST(sum(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS so_far FROM customer")
 piping("pipe_running_avg", "orders", lambda p: p.step("t", lambda s: s.running_avg("mean_key", "o_custkey", order_by="o_orderkey", partition_by="o_orderpriority").select(lambda x: x.pick("base", "o_orderkey"))).sort_on("o_orderkey").limit(1000), "SELECT o_orderkey, avg(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS mean_key FROM orders ORDER BY o_orderkey LIMIT 1000")
-piping("pipe_rank_dense", "part", lambda p: p.step("t", lambda s: s.rank("r", order_by="p_size", partition_by="p_brand").dense_rank("dr", order_by="p_size", partition_by="p_brand").select(lambda x: x.pick("base", "p_partkey"))).limit(50000), "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM part")
-piping("pipe_lag_lead", "orders", lambda p: p.step("t", lambda s: s.lag("before", "o_totalprice", order_by="o_orderkey", partition_by="o_custkey").lead("after", "o_orderkey", order_by="o_orderkey", offset=2, partition_by="o_custkey").select(lambda x: x.pick("base", "o_orderkey"))).limit(200000), "SELECT o_orderkey, lag(o_totalprice, 1) OVER w AS before, lead(o_orderkey, 2) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+piping("pipe_rank_dense", "part", lambda p: p.step("t", lambda s: s.rank("r", order_by="p_size", partition_by="p_brand").dense_rank("dr", order_by="p_size", partition_by="p_brand").select(lambda x: x.pick("base", "p_partkey"))).all_rows(), "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM part")
+piping("pipe_lag_lead", "orders", lambda p: p.step("t", lambda s: s.lag("before", "o_totalprice", order_by="o_orderkey", partition_by="o_custkey").lead("after", "o_orderkey", order_by="o_orderkey", offset=2, partition_by="o_custkey").select(lambda x: x.pick("base", "o_orderkey"))).all_rows(), "SELECT o_orderkey, lag(o_totalprice, 1) OVER w AS before, lead(o_orderkey, 2) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 for _unit in ("month", "quarter", "week"):
     piping(f"pipe_trunc_{_unit}", "orders", lambda p, u=_unit: p.step("t", lambda s: s.group_by("o_orderdate", u).group_by("o_orderstatus").count_all("n")), f"SELECT date_trunc('{_unit}', o_orderdate) AS o_orderdate_{_unit}, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2")
 piping("pipe_ratio", "orders", lambda p: p.step("per", lambda s: s.group_by("o_orderpriority").count_all("n")).step("share", lambda s: s.derive("part", "100.0 * n / SUM(n) OVER ()")), "SELECT o_orderpriority, n, CAST(100.0 * n / sum(n) OVER () AS DOUBLE) AS part FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)")
-piping("pipe_derive_chain", "part", lambda p: p.step("t", lambda s: s.row_number("rn", order_by="p_partkey").derive("twice", "p_size * 2").derive("more", "twice + rn").derive("none", "p_size / NULLIF(p_size - p_size, 0)")).limit(100000), f"SELECT {PART}, rn, p_size * 2 AS twice, p_size * 2 + rn AS more, CAST(NULL AS DOUBLE) AS none FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rn FROM part)")
-piping("pipe_reads_join_step", "orders", lambda p: p.step("per", lambda s: s.group_by("o_custkey").count_all("n")).step("back", lambda s: s.reads("base").join("per", "o_custkey", "o_custkey").select(lambda x: x.pick("base", "o_orderkey").pick("per", "n", "orders_of_customer"))).limit(200000), "SELECT o_orderkey, n AS orders_of_customer FROM orders JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = k")
-piping("pipe_join_type_composite", "lineitem orders", lambda p: p.where("l_quantity", Op.GREATER_THAN, 45).step("j", lambda s: s.join_all("orders", [("l_orderkey", "o_orderkey"), ("l_linenumber", "o_custkey")]).select(lambda x: x.pick("base", "l_orderkey").pick("base", "l_linenumber").pick("orders", "o_custkey"))), "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_custkey WHERE l_quantity > 45")
+piping("pipe_derive_chain", "part", lambda p: p.step("t", lambda s: s.row_number("rn", order_by="p_partkey").derive("twice", "p_size * 2").derive("more", "twice + rn").derive("none", "p_size / NULLIF(p_size - p_size, 0)")).all_rows(), f"SELECT {PART}, rn, p_size * 2 AS twice, p_size * 2 + rn AS more, CAST(NULL AS DOUBLE) AS none FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rn FROM part)")
+piping("pipe_reads_join_step", "orders", lambda p: p.step("per", lambda s: s.group_by("o_custkey").count_all("n")).step("back", lambda s: s.reads("base").join("per", "o_custkey", "o_custkey").select(lambda x: x.pick("base", "o_orderkey").pick("per", "n", "orders_of_customer"))).all_rows(), "SELECT o_orderkey, n AS orders_of_customer FROM orders JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = k")
+piping("pipe_join_type_composite", "lineitem orders", lambda p: p.where("l_quantity", Op.GREATER_THAN, 45).step("j", lambda s: s.join_all("orders", [("l_orderkey", "o_orderkey"), ("l_linenumber", "o_custkey")]).select(lambda x: x.pick("base", "l_orderkey").pick("base", "l_linenumber").pick("orders", "o_custkey"))).all_rows(), "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_custkey WHERE l_quantity > 45")
 piping("pipe_select_all_pick", "nation region", lambda p: p.step("j", lambda s: s.join("region", "n_regionkey", "r_regionkey").select(lambda x: x.all_from("base").pick("region", "r_name", "region_name"))), "SELECT n_nationkey, n_name, n_regionkey, r_name AS region_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-piping("pipe_left_join", "customer orders", lambda p: p.step("j", lambda s: s.join("orders", "c_custkey", "o_custkey", JoinKind.LEFT).select(lambda x: x.pick("base", "c_custkey").pick("orders", "o_orderkey"))).step("n", lambda s: s.group_by("c_custkey").count("o_orderkey", "n")).limit(100000), "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+piping("pipe_left_join", "customer orders", lambda p: p.step("j", lambda s: s.join("orders", "c_custkey", "o_custkey", JoinKind.LEFT).select(lambda x: x.pick("base", "c_custkey").pick("orders", "o_orderkey"))).step("n", lambda s: s.group_by("c_custkey").count("o_orderkey", "n")).all_rows(), "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 
 # --- keyed reads and relations
 
@@ -342,7 +342,7 @@ def authz_owner_tenant(spark, d):
 
 @add("authz_join_on", f"SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE {VISIBLE}) ON c_custkey = o_custkey GROUP BY 1")
 def authz_join_on(spark, d):
-    return _secured(spark, d, "customer").group_by(group_by("customer").join("c_custkey", "orders", "o_custkey", JoinKind.LEFT).key("c_custkey").count("o_orderkey", "n").limit(100000).build(), _CALLER)
+    return _secured(spark, d, "customer").group_by(group_by("customer").join("c_custkey", "orders", "o_custkey", JoinKind.LEFT).key("c_custkey").count("o_orderkey", "n").all_rows().build(), _CALLER)
 
 
 @add("authz_mask", f"SELECT o_orderkey, o_custkey, lower(o_orderstatus) AS o_orderstatus, o_orderdate, o_orderpriority FROM orders WHERE {VISIBLE} ORDER BY o_orderkey LIMIT 100")

@@ -140,7 +140,7 @@ class GroupByRequest:
     having_logic: Logic = Logic.AND
     joins: tuple[Join, ...] = ()
     sorts: tuple[Sort, ...] = ()
-    limit: int = 0
+    limit: int | None = 0  # 0: the default; None: all rows
 
 
 @dataclass(frozen=True)
@@ -207,7 +207,7 @@ class PipelineRequest:
     clauses: tuple[Clause, ...] = ()
     logic: Logic = Logic.AND
     sorts: tuple[Sort, ...] = ()
-    limit: int = 0
+    limit: int | None = 0  # 0: the default; None: all rows
 
 
 @dataclass(frozen=True)
@@ -422,7 +422,7 @@ class GroupByBuilder(_Having, _Metrics):
         self._keys: list[str] = []
         self._metrics = []
         self._sorts: list[Sort] = []
-        self._limit = 0
+        self._limit: int | None = 0
 
     def key(self, field: str) -> GroupByBuilder:
         self._keys.append(field)
@@ -443,6 +443,11 @@ class GroupByBuilder(_Having, _Metrics):
         self._limit = n
         return self
 
+    def all_rows(self) -> GroupByBuilder:
+        """Every row, however many; without this or a limit the default limit holds."""
+        self._limit = None
+        return self
+
     def build(self) -> GroupByRequest:
         outputs = [k.rpartition(".")[2].lower() for k in self._keys] + [m.name.lower() for m in self._metrics]
         if not self._keys:
@@ -611,7 +616,7 @@ class PipelineBuilder(_Filtered):
         self._type = type_name
         self._steps: list[Step] = []
         self._sorts: list[Sort] = []
-        self._limit = 0
+        self._limit: int | None = 0
 
     def step(self, name: str, configure: Callable[[StepBuilder], object]) -> PipelineBuilder:
         earlier = [BASE, *(s.name for s in self._steps)]
@@ -635,6 +640,11 @@ class PipelineBuilder(_Filtered):
         self._limit = n
         return self
 
+    def all_rows(self) -> PipelineBuilder:
+        """Every row, however many; without this or a limit the default limit holds."""
+        self._limit = None
+        return self
+
     def build(self) -> PipelineRequest:
         if not self._steps:
             raise QueryError("a pipeline needs one step at least")

@@ -77,4 +77,6 @@ def group_by(ctx: Context, request: GroupByRequest) -> DataFrame:
         order.append(F.col(f"`{bare}`").desc() if s.descending else F.col(f"`{bare}`").asc())
     if order:
         out = out.orderBy(*order)
+    if request.limit is None:
+        return out
     return out.limit(request.limit if request.limit > 0 else DEFAULT_LIMIT)

@@ -232,7 +232,7 @@ def _joined(ctx: Context, df: DataFrame, step: Step, columns: Columns, frames: d
 
 
 def pipeline(ctx: Context, request: PipelineRequest) -> DataFrame:
-    """The last step, sorted and limited; an empty frame if the caller may not read the primary type."""
+    """The last step, sorted, and limited unless all rows are asked for; an empty frame if the caller may not read the primary type."""
     t = ctx.type(request.type)
     denied = ctx.denied(request.type)
     tracker = Tracker(ctx, request)
@@ -280,4 +280,6 @@ def pipeline(ctx: Context, request: PipelineRequest) -> DataFrame:
     order = [F.col(f"`{s.field}`").desc() if s.descending else F.col(f"`{s.field}`").asc() for s in request.sorts]
     if order:
         out = out.orderBy(*order)
+    if request.limit is None:
+        return out
     return out.limit(request.limit if request.limit > 0 else DEFAULT_LIMIT)

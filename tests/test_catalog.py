@@ -7,6 +7,9 @@ import duckdb
 import pytest
 
 from fathom import catalog
+from fathom.dsl import group_by, pipeline
+from fathom.engine import Engine
+from fathom.schema import EntityType
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,3 +38,17 @@ def test_query(spark, duck, name):
         found = duck.sql(catalog.ORACLE[name])
         assert sorted(found.columns) == names
         assert rows == sorted(repr([plain(v) for v in r]) for r in found.project(",".join(f'"{n}"' for n in names)).fetchall())
+
+
+@pytest.mark.parametrize("name", ["pipe_running_sum_ties", "pipe_rank_dense", "pipe_topn", "pipe_derive_chain", "pipe_lag_lead", "pipe_reads_join_step", "pipe_left_join", "authz_join_on", "pipe_filter_agg_having", "pipe_join_type_composite"])
+def test_sql_without_limit_keeps_all_rows(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LIMIT" not in catalog.ORACLE[name] and "Limit" not in plan.replace("WindowGroupLimit", "")
+
+
+def test_rows_beyond_the_default_limit(spark):
+    df = spark.range(10_001).withColumnRenamed("id", "k")
+    own = Engine(spark).register(EntityType.of_frame("many", "k", df), df)
+    step = lambda: pipeline("many").step("s", lambda s: s.derive("twice", "k * 2"))
+    assert own.pipeline(step().all_rows().build()).count() == 10_001 and own.group_by(group_by("many").key("k").all_rows().build()).count() == 10_001
+    assert own.pipeline(step().build()).count() == 10_000 and own.group_by(group_by("many").key("k").build()).count() == 10_000
