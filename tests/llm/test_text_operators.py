@@ -5,6 +5,7 @@ import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, html_text, line_dedup, pieces, quality, secret_scan, token_counts
 from fathom.llm.queries import QUERIES, tokenizer_path
@@ -183,6 +184,19 @@ def test_line_dedup(spark, odd):
     assert out.columns == odd.columns and out.count() == odd.count() and line_dedup.drop_boilerplate(odd.limit(0)).collect() == []
 
 
+def test_line_dedup_by_language(spark):
+    import corpus_pipeline
+
+    # 2% of the French pages hold the line, 1% of all
+    rows = [(i, f"own {i}\n" + ("tous droits" if i % 100 == 1 else f"more {i}"), "h", "fr" if i % 2 else "en", 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.without_boilerplate(spark, df, "").collect()}
+    assert len(out) == 1000 and all(out[i].text == (f"own {i}" if i % 100 == 1 else t) for i, t, *_ in rows)
+    assert all(r.n_chars == len(r.text) for r in out.values())
+    gone = line_dedup.drop_boilerplate(df.withColumn("lang", F.lit(None).cast("string")).unionAll(df), ratio=0.015, lang_col="lang")
+    assert gone.where("text LIKE '%tous droits'").count() == 10 and gone.count() == 2000
+
+
 # --- benchmark
 
 
