@@ -3,7 +3,8 @@
 For each host, the pages that hold a line are divided by the host's pages; lines above a boilerplate ratio are dropped
 from that host's pages. Where a host's pages are of several languages, each language can be a host of its own, as a line
 is of one language and its share of all pages would hide it. Pages with the same text are one page, so copies of a
-document do not turn its own lines into boilerplate. Lines are held as two 64-bit hashes; counts are exact.
+document do not turn its own lines into boilerplate; near copies are one page too where their classes are given. Lines
+are held as two 64-bit hashes; counts are exact.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ def _host_of(df: DataFrame, host_col: str, lang_col: str | None) -> Column:
     return F.struct(df[host_col].alias("host"), df[lang_col].alias("lang")) if lang_col else df[host_col]
 
 
-def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, lang_col: str | None = None) -> DataFrame:
+def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, lang_col: str | None = None, class_col: str | None = None) -> DataFrame:
     """(host, lines): each host's boilerplate lines as hashes, at most the mean lines of a page / ratio.
 
-    With lang_col, a host is a struct of host and language.
+    With lang_col, a host is a struct of host and language. With class_col, rows of one class are one page (a null is no
+    class).
     """
-    pages = df.select(_host_of(df, host_col, lang_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pages = pages.select("host", F.struct(F.xxhash64("text").alias("a"), F.octet_length("text").alias("b")).alias("page"), F.filter(F.split("text", "\n"), lambda x: _bare(x) != "").alias("lines"))
+    pages = df.select(_host_of(df, host_col, lang_col).alias("host"), (df[class_col] if class_col else F.lit(None)).cast("string").alias("class"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pages = pages.select("host", F.struct(F.when(F.col("class").isNull(), F.xxhash64("text")).alias("a"), F.when(F.col("class").isNull(), F.octet_length("text")).alias("b"), "class").alias("page"), F.filter(F.split("text", "\n"), lambda x: _bare(x) != "").alias("lines"))
     held = pages.select("host", "page", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("line")).distinct()
     counts = held.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total")).withColumnRenamed("host", "_host")
@@ -46,15 +48,16 @@ def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text",
     return common.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", ratio: float = RATIO, least_pages: int = LEAST_PAGES, lang_col: str | None = None) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", ratio: float = RATIO, least_pages: int = LEAST_PAGES, lang_col: str | None = None, class_col: str | None = None) -> DataFrame:
     """The rows and columns of df without their hosts' boilerplate lines; chars_col, if it is there, is counted anew.
 
     Every row stays, with an empty text if no line is left. Lines compare without white space at their ends; blank
     lines are never boilerplate and stay. A null host is a host of its own; a null text stays null. Repeated rows are
-    one page and all lose the same lines. With lang_col, lines are counted among the host's pages of one language.
+    one page and all lose the same lines. With lang_col, lines are counted among the host's pages of one language; with
+    class_col, rows of one class are one page.
     """
     host, found = scratch.fresh(df, "_host"), scratch.fresh(df, "_lines")
-    lines, at = scratch.keep(boilerplate(df, host_col, text_col, ratio, least_pages, lang_col).select(F.col("host").alias(host), F.col("lines").alias(found)))
+    lines, at = scratch.keep(boilerplate(df, host_col, text_col, ratio, least_pages, lang_col, class_col).select(F.col("host").alias(host), F.col("lines").alias(found)))
     if scratch.table_bytes(df.sparkSession, at) <= BROADCAST_BYTES:
         lines = F.broadcast(lines)
     joined = df.join(lines, _host_of(df, host_col, lang_col).eqNullSafe(F.col(host)), "left")

@@ -197,6 +197,17 @@ def test_line_dedup_by_language(spark):
     assert gone.where("text LIKE '%tous droits'").count() == 10 and gone.count() == 2000
 
 
+def test_line_dedup_counts_near_copies_once(spark):
+    import corpus_pipeline
+
+    body = "\n".join(" ".join(f"w{k}x{j}" for j in range(12)) for k in range(12))
+    rows = [(i, f"{body}\nedited by {i}", "h", "en", 0) for i in range(8)] + [(100 + i, f"own{i} text{i} of{i} this{i} page{i}\nall rights reserved", "h", "en", 0) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    out = corpus_pipeline.without_boilerplate(spark, df, "")
+    assert out.columns == df.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t if i < 100 else t.split("\n")[0] for i, t, *_ in rows}
+
+
 # --- benchmark
 
 
