@@ -1,18 +1,19 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 A text's characters are symbols; candidate merges of neighbours wait in an agenda, best score first, leftmost first
-among equals. Each candidate is skipped if a hash of the seed, its variant, its place and its two symbols falls below
-the dropout rate, so one text gets varied segmentations that are the same on every run; with a rate of 0 the result
-is the library's. Words (with the spaces before them) cannot merge with each other, so agendas are processed word by
+among equals. Each candidate is skipped if a hash of the seed, the document's key, the word's number in the document, its
+place and its two symbols falls below the dropout rate, so every occurrence of a word is drawn on its own, and the same
+on every run; with a rate of 0 the result is the library's. A word's undropped segmentation is remembered with all its
+candidates, and serves the occurrences whose candidates all pass; the others are segmented one by one. Words (with the spaces before them) cannot merge with each other, so agendas are processed word by
 word: many words at once in numpy, very long ones by a heap. Characters without a piece become bytes, so every
 segmentation decodes to the exact text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from . import scratch
 from .shingles import mix
 
 SPACE = "▁"
-#: Dropout rate, seed, and variants of a word's segmentation.
-RATE, SEED, VARIANTS = 0.1, 1, 4
+#: Dropout rate and seed.
+RATE, SEED = 0.1, 1
 #: Symbols from which a word is processed by a heap, and words in one numpy batch.
 LONG_WORD, BATCH_WORDS = 192, 40_000
 #: Rows of an Arrow batch that are encoded at once.
@@ -33,6 +34,17 @@ _CHUNK = re.compile(" *[^ ]+| +")
 _NONE = np.int64(1) << np.int64(62)
 
 
+def _code(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A candidate's part of its draw."""
+    with np.errstate(over="ignore"):
+        return mix((left << 32 | right).astype(np.uint64) + (place.astype(np.uint64) << np.uint64(52))) + place.astype(np.uint64)
+
+
+def _skipped(key: np.ndarray, code: np.ndarray, rate: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(key + code) >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate
+
+
 class Pieces:
     """Merge tables of a BPE model file."""
 
@@ -111,13 +123,17 @@ class Pieces:
         made = self.find(left, right)
         order = np.where(made >= 0, (self.rank[made] << 24) + place, _NONE)
         if rate > 0:
-            with np.errstate(over="ignore"):
-                draw = mix(key + mix((left << 32 | right).astype(np.uint64) + (place.astype(np.uint64) << np.uint64(52))) + place.astype(np.uint64))
-            order[(draw >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate] = _NONE
+            order[_skipped(key, _code(left, right, place), rate)] = _NONE
         return made, order
 
-    def segment_many(self, words: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all words one after another, and how many each has."""
+    def segment_many(self, words: list[str], keys: np.ndarray, rate: float, tried: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words one after another, and how many each has. tried gets the words and codes of the candidates."""
+
+        def note(at: np.ndarray) -> None:
+            if tried is not None:
+                at = at[made[at] >= 0]
+                tried.append((word[at], _code(sym[at], sym[at + 1], place[at])))
+
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -126,6 +142,7 @@ class Pieces:
         made, order = np.full(len(sym), -1), np.full(len(sym), _NONE)
         at = np.flatnonzero(~last)
         made[at], order[at] = self.best(sym[at], sym[at + 1], keys[word[at]], place[at], rate)
+        note(at)
         done_sym, done_word, done_place = [], [], []
         while len(sym):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
@@ -154,6 +171,7 @@ class Pieces:
             fresh = np.concatenate([hit[~last[hit]], before])
             made[hit], order[hit] = -1, _NONE
             made[fresh], order[fresh] = self.best(sym[fresh], sym[fresh + 1], keys[word[fresh]], place[fresh], rate)
+            note(fresh)
         if not done_sym:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         sym, word, place = map(np.concatenate, (done_sym, done_word, done_place))
@@ -199,49 +217,76 @@ class Pieces:
             out[ends[k] - len(c) : ends[k]] = self.byte_id[list(c)]
         return out, np.bincount(owner, weights=widths, minlength=len(counts)).astype(np.int64)
 
-    def encode_batch(self, texts: list[str], keys: list[int], rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> list[np.ndarray]:
-        """Ids of each text. keys: what makes the texts' segmentations vary, such as hashes of their ids."""
-        seen: dict[tuple[str, int], int] = {}
-        rows, sizes = [], []
-        for text, key in zip(texts, keys):
-            words = _CHUNK.findall(" " + text) if text else []
-            sizes.append(len(words))
-            if rate > 0:
-                with np.errstate(over="ignore"):
-                    drawn = mix(np.arange(len(words), dtype=np.uint64) + mix(np.full(1, (key ^ seed * 0x9E3779B9) & (1 << 64) - 1, np.uint64)))
-                which = (drawn % np.uint64(variants)).tolist()
-            else:
-                which = [0] * len(words)
-            rows.append([seen.setdefault(x, len(seen)) for x in zip(words, which)])
-        words = [w for w, _ in seen]
-        with np.errstate(over="ignore"):
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            own = mix(np.fromiter((v for _, v in seen), np.uint64, len(words)) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15))
-        ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        short = np.flatnonzero(lengths < LONG_WORD)
+    def segment(self, words: list[str], keys: np.ndarray, rate: float, tried: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in some order, where each word's start in them, and how many each has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         parts, starts, counts = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        at = 0
+        short, at = np.flatnonzero(lengths < LONG_WORD), 0
         for k in range(0, len(short), BATCH_WORDS):
             some = short[k : k + BATCH_WORDS]
-            sym, n = self.with_bytes(*self.segment_many([words[i] for i in some], own[some], rate))
+            own = None if tried is None else []
+            sym, n = self.with_bytes(*self.segment_many([words[i] for i in some], keys[some], rate, own))
+            if tried is not None:
+                tried += [(some[w], c) for w, c in own]
             parts.append(sym)
             starts[some], counts[some] = at + np.cumsum(n) - n, n
             at += len(sym)
         for i in np.flatnonzero(lengths >= LONG_WORD):
-            sym = self.segment_long(words[i], own[i], rate)
+            sym = self.segment_long(words[i], keys[i], rate)
             sym, n = self.with_bytes(sym, np.array([len(sym)]))
             parts.append(sym)
             starts[i], counts[i] = at, n[0]
             at += len(sym)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        out = []
-        for row in rows:
-            row = np.array(row, np.int64)
-            n = counts[row]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), starts, counts
+
+    def encode_batch(self, texts: list[str], keys: list[int], rate: float = RATE, seed: int = SEED) -> list[np.ndarray]:
+        """Ids of each text. keys: what makes the texts' segmentations vary, such as hashes of their ids."""
+        seen: dict[str, int] = {}
+        rows, draws = [], []
+        for text, key in zip(texts, keys):
+            words = _CHUNK.findall(" " + text) if text else []
+            rows.append(np.array([seen.setdefault(w, len(seen)) for w in words], np.int64))
+            with np.errstate(over="ignore"):
+                draws.append(mix(np.arange(len(words), dtype=np.uint64) + mix(np.full(1, (key ^ seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1, np.uint64))))
+        words, sizes = list(seen), [len(r) for r in rows]
+        which = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        if rate > 0:
+            # long words hardly ever pass whole
+            long = np.fromiter((len(w) >= LONG_WORD for w in words), bool, len(words))
+            tried: list = []
+            flat, starts, counts = self.segment([w if len(w) < LONG_WORD else "" for w in words], np.zeros(len(words), np.uint64), 0, tried)
+            draw = np.concatenate(draws) if draws else np.zeros(0, np.uint64)
+            varied = self._varied(which, draw, long, tried, rate)
+            more, at, n = self.segment([words[i] for i in which[varied]], draw[varied], rate)
+            starts, counts = starts[which], counts[which]
+            starts[varied], counts[varied] = len(flat) + at, n
+            flat = np.concatenate([flat, more])
+        else:
+            flat, starts, counts = self.segment(words, np.zeros(len(words), np.uint64), 0)
+            starts, counts = starts[which], counts[which]
+        out, at = [], 0
+        for size in sizes:
+            n, first = counts[at : at + size], starts[at : at + size]
             ends = np.cumsum(n)
-            out.append(flat[np.repeat(starts[row] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
+            out.append(flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if size else 0)])
+            at += size
         return out
 
+    @staticmethod
+    def _varied(which: np.ndarray, draw: np.ndarray, long: np.ndarray, tried: list, rate: float) -> np.ndarray:
+        """The occurrences of which a candidate is skipped, and all of long words. which: each occurrence's word."""
+        word, code = (np.concatenate(x) for x in zip(*tried)) if tried else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        code, number = code[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(long))
+        first = np.cumsum(number) - number
+        skip = long[which]
+        for k in range(0, len(which), BATCH_WORDS):
+            some = which[k : k + BATCH_WORDS]
+            n = number[some]
+            owner = np.repeat(np.arange(len(some)), n)
+            at = np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(len(owner))
+            skip[k + owner[_skipped(draw[k : k + BATCH_WORDS][owner], code[at], rate)]] = True
+        return np.flatnonzero(skip)
+
     def decode(self, ids) -> str:
         """The text that any segmentation came from."""
         out = bytearray()
@@ -276,7 +321,7 @@ def encode(df: DataFrame, path: str, rate: float = RATE, seed: int = SEED, id_co
             # a slice's pieces leave the worker before the next slice is encoded
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                keys = [zlib.crc32(str(i).encode()) for i in part.column(len(kept)).to_pylist()]
+                keys = [int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest(), "big") for i in part.column(len(kept)).to_pylist()]
                 coded = own.encode_batch(part.column(len(kept) + 1).to_pylist(), keys, rate, seed)
                 counts = np.array([len(x) for x in coded], np.int32)
                 flat = pa.array(np.concatenate(coded).astype(np.int32))

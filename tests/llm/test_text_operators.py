@@ -3,6 +3,7 @@ import html
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -302,3 +303,26 @@ def test_pieces_vary_and_decode(spark, odd):
     one, other = (pieces.encode(docs, path, seed=s).select("doc_id", "piece_ids").orderBy("doc_id").collect() for s in (1, 2))
     assert sum(a != b for a, b in zip(one, other)) > 0.9 * len(one)
     assert pieces.encode(odd.limit(0), path).collect() == []
+
+
+def test_dropout_is_drawn_for_every_occurrence(model):
+    assert [len(x) for x in model.encode_batch(["a"], [0], rate=0)] == [1]
+    many = [len(x) - 1 for x in model.encode_batch(["a"] * 5000, list(range(5000)))]
+    assert set(many) == {0, 1} and abs(sum(many) / 5000 - pieces.RATE) < 0.02
+    assert abs(len(model.encode_batch([" ".join("a" * 5000)], [7])[0]) / 5000 - 1 - pieces.RATE) < 0.02
+    one, other = ({tuple(x) for x in model.encode_batch(["internationally"] * 3000, list(range(3000)), seed=s)} for s in (1, 2))
+    assert len(one) > 20 and one != other
+
+
+def test_remembered_words_equal_single_ones(model):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["international", "the", "of", "Ünï▁", "x" * 250, "", "understanding"]) for _ in range(60)) for _ in range(8)]
+    batch = model.encode_batch(texts, list(range(8)), rate=0.2)
+    assert all(list(model.encode_batch([t], [k], rate=0.2)[0]) == list(b) for k, (t, b) in enumerate(zip(texts, batch)))
+    drawn = pieces.Pieces._varied
+    try:
+        pieces.Pieces._varied = staticmethod(lambda which, *_: np.arange(len(which)))  # nothing is remembered
+        single = model.encode_batch(texts, list(range(8)), rate=0.2)
+    finally:
+        pieces.Pieces._varied = staticmethod(drawn)
+    assert all(list(a) == list(b) for a, b in zip(single, batch))
