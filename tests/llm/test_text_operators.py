@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, html_text, line_dedup, pieces, quality, secret_scan, token_counts
+from fathom.llm import html_text, line_dedup, pieces, quality, secret_scan, token_counts
 from fathom.llm.queries import QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -36,12 +36,8 @@ def test_base_spans(text):
     assert secret_scan.scan(text)[0] == brute_base(text)
 
 
-def test_lexed_spans():
-    text = 'k = "Zx81kaPq99LmW0t3"\nalias = k\ndb_passphrase = alias\nprivate_key: "wJalrXUtnFEMI/K7MDENG"\npublic_key = "wJalrXUtnFEMI/K7MDENG"\nname = "Zx81kaPq99LmW0t3"\nclient-secret => none\n'
-    found = [text[a:b] for k, a, b in secret_scan.scan(text)[1] if k == "lex"]
-    assert found == ["Zx81kaPq99LmW0t3", "wJalrXUtnFEMI/K7MDENG"]
+def test_redaction():
     assert "Zx81" not in secret_scan.redact("password = 'Zx81kaPq99LmW0t3'")
-    assert secret_scan.scan("The token of the day: be kind. Note: time = 12")[1] == []
 
 
 def test_secret_query(spark, odd, tmp_path):
@@ -66,25 +62,6 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
 
 
-ALPHABET = st.sampled_from(list("abcABC'st 12.!\n\t") + ["é", "é", "Σ", "中", "😀", "\x1c", "\x85", "\xa0", " ", "<|endoftext|>", "<|", "don't", "  "])
-
-
-@settings(deadline=None, max_examples=300)
-@given(st.lists(ALPHABET, max_size=120).map("".join), st.integers(4, 60), st.integers(1, 10))
-def test_token_counts_equal_the_library(tokenizer, text, chunk, overlap):
-    counter = token_counts.WordCounter(tokenizer_path("word_bpe_49k.json"))
-    expected = len(tokenizer.encode(text, add_special_tokens=False))
-    assert token_counts.count_text(counter, text) == expected
-    assert token_counts.count_text(counter, text, chunk, overlap) == expected
-
-
-def test_resync_spans_cover_and_widen():
-    text = "ab " * 50 + "x" * 500 + " cd" * 50
-    spans = list(token_counts.resync_spans(text, 64, 8))
-    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and len(spans) > 3
-    assert list(token_counts.resync_spans("y" * 300, 64, 8)) == [(0, 300)]
-
-
 def test_token_query(spark, odd, tokenizer):
     rows = token_counts.token_counts(odd, tokenizer_path("word_bpe_49k.json")).collect()
     texts = [(r.doc_id, r.text or "") for r in odd.collect()]
@@ -209,55 +186,6 @@ def test_line_dedup_counts_near_copies_once(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {i: t if i < 100 else t.split("\n")[0] for i, t, *_ in rows}
 
 
-# --- benchmark
-
-
-def plain_align(a, b):
-    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    best = 0
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            h[i][j] = max(0, h[i - 1][j - 1] + (1 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
-            best = max(best, h[i][j])
-    return best
-
-
-@settings(deadline=None, max_examples=100)
-@given(st.text("abcd", min_size=1, max_size=25), st.text("abcd", max_size=40))
-def test_align(a, b):
-    assert decontaminate.align(decontaminate.words(" ".join(a)), decontaminate.words(" ".join(b))) == plain_align(a, b)
-
-
-def test_leaks_against_brute_force(spark, odd):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    plain = lambda t: re.findall(r"[^\W_]+", t.lower())
-    expected = set()
-    for item in items.collect():
-        a = plain(item.text)
-        grams = {tuple(a[i : i + 2]) for i in range(len(a) - 1)}
-        for d, t in texts.items():
-            b = plain(t)
-            hits = [i for i in range(len(b) - 1) if tuple(b[i : i + 2]) in grams]
-            if len(hits) > len(a) // 4 and plain_align(a, b[max(0, hits[0] - 80) : hits[-1] + 80]) >= max(0.4 * len(a), min(len(a), 6)):
-                expected.add((d, item.item_id))
-    assert found == expected and found
-    clean = decontaminate.clean(docs, items)
-    assert {r.doc_id for r in clean.collect()} == texts.keys() - {d for d, _ in found} and clean.columns == docs.columns
-    assert decontaminate.clean(odd, items).count() == odd.count() and decontaminate.clean(odd, items.limit(0)).count() == odd.count()
-    assert decontaminate.find_leaks(docs.limit(0), items).collect() == []
-
-
-def test_edited_and_short_items(spark):
-    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
-    edited = item.replace("delta", "DELTA!").replace("kappa", "changed words").replace("rho ", "")
-    docs = spark.createDataFrame([(1, "some text before " + edited + " and after"), (2, "alpha beta is not the item"), (3, "well Hi there friend"), (4, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(10, item), (11, "hi there"), (12, None), (13, "")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == {(1, 10), (3, 11)}
-
-
 # --- pieces
 
 
