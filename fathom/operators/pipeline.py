@@ -1,285 +1,222 @@
 """Pipeline: named steps over a base, each a frame that later steps read or join.
 
-Validation comes first and tracks each step's output columns; then the steps are built as frames.
+A step is a chain of small transformations of one table: rows, groups, or joined and windowed columns and a projection.
+Each looks its names up in the columns of the frame before it, so a step that names what is not there fails where it
+does; nothing is run until the result is asked for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..authz import OPEN
-from ..dsl import BASE, METRICS, Agg, Logic, PipelineRequest, Step, Window
+from ..dsl import BASE, METRICS, Agg, Clause, Logic, PipelineRequest, Step
 from ..errors import QueryError
 from ..functions.dates import truncate
 from ..plans import predicates
-from ..plans.exprs import expression, validate
+from ..plans.exprs import expression
 from ..schema import IDENTIFIER
+from . import windows
 from .grouping import DEFAULT_LIMIT, FUNCTIONS
 from .relational import Context
 
-Columns = dict[str, str]  # lower-case name -> name
-NEEDS_FIELD = {Window.RUNNING_SUM, Window.RUNNING_AVG, Window.LAG, Window.LEAD}
-
-
-class Tracker:
-    """The steps so far and their output columns."""
-
-    def __init__(self, ctx: Context, request: PipelineRequest) -> None:
-        self.ctx = ctx
-        t = ctx.type(request.type)
-        limit = ctx.limit(t) or OPEN
-        self.steps: dict[str, Columns] = {BASE: {n.lower(): n for n in t.names if limit.permits(n)}}
-        self.last = BASE
-        for clause in request.clauses:
-            self.require(BASE, self.steps[BASE], clause.field)
-        if not request.steps:
-            raise QueryError("a pipeline needs one step at least")
-        for step in request.steps:
-            self.check_name(step)
-            self.steps[step.name.lower()] = self.outputs(step)
-            self.last = step.name.lower()
-        for s in request.sorts:
-            self.require("the final sort", self.steps[self.last], s.field)
+#: Parts of a step that exclude each other, and parts that need another.
+APART = (("a grouping", "windows"), ("a grouping", "a select"), ("a grouping", "derived columns"), ("joins", "windows"), ("joins", "derived columns"))
+TOGETHER = (("joins", "a select"), ("a grouping", "a key"))
 
-    @staticmethod
-    def require(where: str, columns: Columns, name: str | None) -> str:
-        own = columns.get((name or "").lower())
-        if own is None:
-            raise QueryError(f"step '{where}': unknown column '{name}'")
-        return own
-
-    def check_name(self, step: Step) -> None:
-        if not step.name or not IDENTIFIER.match(step.name):
-            raise QueryError(f"'{step.name}' is not a valid step name")
-        if step.name.lower() in self.steps:
-            raise QueryError(f"step name '{step.name}' is taken")
-        if self.ctx.registry.get(step.name) is not None:
-            raise QueryError(f"step name '{step.name}' is the name of a type")
-
-    def input_of(self, step: Step) -> str:
-        name = (step.reads or "").lower() or self.last
-        if name not in self.steps:
-            raise QueryError(f"step '{step.name}' reads '{step.reads}', which is not an earlier step")
-        return name
-
-    def source_columns(self, step: Step, source: str) -> Columns:
-        """Columns of a join source: an earlier step, or a registered type that the caller may read."""
-        if source.lower() in self.steps:
-            return self.steps[source.lower()]
-        t = self.ctx.registry.get(source)
-        if t is None:
-            raise QueryError(f"step '{step.name}': '{source}' is neither an earlier step nor a type")
-        limit = self.ctx.limit(t)
-        if limit is None:
-            raise QueryError(f"type '{t.name}' is not permitted")
-        return {n.lower(): n for n in t.names if limit.permits(n)}
-
-    def outputs(self, step: Step) -> Columns:
-        columns = self.steps[self.input_of(step)]
-        fail = lambda why: QueryError(f"step '{step.name}': {why}")
-        if step.windows and step.aggregates:
-            raise fail("windows and grouping cannot share a step")
-        if step.aggregates and step.select:
-            raise fail("a grouping step has no select; project in the next step")
-        if step.joins and not step.select:
-            raise fail("a step with joins needs a select")
-        if step.joins and (step.windows or step.derive):
-            raise fail("joins cannot share a step with windows or derived columns")
-        if step.aggregates and not step.keys:
-            raise fail("metrics and HAVING need a key")
-        if step.aggregates and step.derive:
-            raise fail("derived columns go in the step after a grouping")
-        for clause in step.clauses:
-            self.require(step.name, columns, clause.field)
-        joined: dict[str, Columns] = {}
-        for join in step.joins:
-            if join.source.lower() in joined:
-                raise fail(f"'{join.source}' is joined twice")
-            joined[join.source.lower()] = own = self.source_columns(step, join.source)
-            if not join.on:
-                raise fail(f"the join to '{join.source}' needs a condition")
-            for left, right in join.on:
-                self.require(step.name, columns, left)
-                self.require(step.name, own, right)
-        out: Columns = {}
-
-        def add(name: str) -> None:
-            if name.lower() in out:
-                raise fail(f"two outputs are named '{name}'")
-            out[name.lower()] = name
-
-        def alias(name: str, what: str) -> str:
-            if not IDENTIFIER.match(name or ""):
-                raise fail(f"'{name}' is not a valid {what}")
-            return name
-
-        if step.aggregates:
-            for name, unit in step.keys:
-                own = self.require(step.name, columns, name)
-                if unit:
-                    truncate(F.lit(None), unit)
-                add(f"{own}_{unit.lower()}" if unit else own)
-            for m in step.metrics:
-                alias(m.name, "metric name")
-                if m.type not in METRICS:
-                    raise fail(f"{m.type.name} is not a metric")
-                if m.field:
-                    self.require(step.name, columns, m.field)
-                elif not m.expression and m.type is not Agg.COUNT:
-                    raise fail(f"metric '{m.name}' needs a field or an expression")
-                if m.expression:
-                    validate(m.expression, columns, f"step '{step.name}': metric '{m.name}'")
-                add(m.name)
-            for clause in step.having:
-                self.require(step.name, out, clause.field)
-            return out
-        if step.select:
-            for pick in step.select:
-                source = self.pick_source(step, pick.source, joined)
-                if pick.column is None:
-                    self.check_all(step, pick.source)
-                    for name in source.values():
-                        add(name)
-                else:
-                    own = self.require(step.name, source, pick.column)
-                    add(alias(pick.alias, "alias") if pick.alias else own)
-        else:
-            for name in columns.values():
-                add(name)
-        for w in step.windows:
-            alias(w.alias, "window name")
-            self.require(step.name, columns, w.order_by)
-            if w.partition_by:
-                self.require(step.name, columns, w.partition_by)
-            if w.kind in NEEDS_FIELD:
-                self.require(step.name, columns, w.field)
-            add(w.alias)
-        scope = columns | out
-        for name, text in step.derive:
-            alias(name, "name of a derived column")
-            validate(text, scope, f"step '{step.name}': '{name}'")
-            add(name)
-            scope[name.lower()] = name
-        return out
-
-    def pick_source(self, step: Step, source: str, joined: dict[str, Columns]) -> Columns:
-        name = source.lower()
-        if name in joined:
-            return joined[name]
-        if name == self.input_of(step) or (name == self.base_type.lower() and self.input_of(step) == BASE):
-            return self.steps[self.input_of(step)]
-        raise QueryError(f"step '{step.name}': select source '{source}' is neither the input nor joined")
-
-    base_type = BASE
-
-    def check_all(self, step: Step, source: str) -> None:
-        t = self.ctx.registry.get(source)
-        limit = self.ctx.limit(t) if t is not None and source.lower() not in self.steps else None
-        if limit is not None and limit.allowed is not None:
-            raise QueryError(f"step '{step.name}': all of '{source}' is not permitted; select single columns")
-
-
-def _plain(df: DataFrame) -> DataFrame:
-    """Decimals of derived arithmetic as doubles."""
-    own = [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)]
-    return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in own}) if own else df
 
+@dataclass(frozen=True)
+class Table:
+    """A frame, and for what a request calls its columns where they are in it."""
 
-def _col(columns: Columns, name: str, prefix: str = "") -> Column:
-    own = columns[name.lower()]
-    return F.col(f"`{prefix}`.`{own}`" if prefix else f"`{own}`")
+    df: DataFrame
+    names: dict[str, str]
+    whole: bool = True  # whether all of its columns may be asked for at once
 
+    @staticmethod
+    def of(df: DataFrame, whole: bool = True) -> Table:
+        return Table(df, {c.lower(): c for c in df.columns}, whole)
 
-def _windowed(step: Step, columns: Columns) -> dict[str, Column]:
-    found = {}
-    for w in step.windows:
-        order = _col(columns, w.order_by)
-        over = (W.partitionBy(_col(columns, w.partition_by)) if w.partition_by else W.partitionBy()).orderBy(order.desc() if w.descending else order.asc())
-        own = _col(columns, w.field) if w.kind in NEEDS_FIELD else None
-        offset = w.offset if w.offset > 0 else 1
-        # no frame is given: with an order it runs to the current row and its ties
-        function = {
-            Window.ROW_NUMBER: lambda: F.row_number(), Window.RANK: lambda: F.rank(), Window.DENSE_RANK: lambda: F.dense_rank(),
-            Window.RUNNING_SUM: lambda: F.sum(own), Window.RUNNING_AVG: lambda: F.avg(own), Window.LAG: lambda: F.lag(own, offset), Window.LEAD: lambda: F.lead(own, offset),
-        }[w.kind]()
-        found[w.alias] = function.over(over)
-    return found
-
-
-def _aggregated(df: DataFrame, step: Step, columns: Columns) -> DataFrame:
-    keys = [(truncate(_col(columns, n), u).alias(f"{columns[n.lower()]}_{u.lower()}") if u else _col(columns, n)) for n, u in step.keys]
-    metrics = []
-    for m in step.metrics:
-        own = expression(m.expression, columns.values(), f"metric '{m.name}'") if m.expression else _col(columns, m.field) if m.field else F.lit(1)
-        metrics.append(FUNCTIONS[m.type](own).alias(m.name))
-    out = _plain(df.groupBy(*keys).agg(*metrics)) if metrics else df.select(*keys).distinct()
-    names = {c.lower(): c for c in out.columns}
-    held = predicates.where(step.having, False, lambda n: _col(names, n))
-    return out if held is None else out.where(held)
+    def name(self, name: str | None) -> str:
+        found = self.names.get((name or "").lower())
+        if found is None:
+            raise QueryError(f"unknown column '{name}'")
+        return found
 
+    def __getitem__(self, name: str | None) -> Column:
+        return F.col(f"`{self.name(name)}`")
 
-def _joined(ctx: Context, df: DataFrame, step: Step, columns: Columns, frames: dict[str, DataFrame], tracker: Tracker) -> DataFrame:
-    out = df.alias("_input")
-    for join in step.joins:
-        name = join.source.lower()
-        right = (frames[name] if name in frames else ctx.rows(ctx.type(join.source))).alias(join.source)
-        own = tracker.source_columns(step, join.source)
-        on = reduce(Column.__and__, [_col(columns, a, "_input") == _col(own, b, join.source) for a, b in join.on])
-        out = out.join(right, on, join.kind.value)
-    return out
+    def held(self, clauses: Iterable[Clause], logic: Logic) -> Table:
+        found = predicates.where(list(clauses), logic is Logic.OR, self.__getitem__, lambda n: self.df.schema[self.name(n)].dataType)
+        return self if found is None else Table(self.df.where(found), self.names, self.whole)
 
 
 def pipeline(ctx: Context, request: PipelineRequest) -> DataFrame:
     """The last step, sorted, and limited unless all rows are asked for; an empty frame if the caller may not read the primary type."""
     t = ctx.type(request.type)
-    denied = ctx.denied(request.type)
-    tracker = Tracker(ctx, request)
-    columns = tracker.steps[BASE]
-    base = ctx.frames[t.name.lower()].where(F.lit(False)) if denied else ctx.rows(t)
-    base = base.select(*[F.col(f"`{n}`") for n in columns.values()])
-    held = predicates.where(request.clauses, request.logic is Logic.OR, lambda n: _col(columns, n))
-    frames = {BASE: base if held is None else base.where(held)}
-    last = BASE
+    if not request.steps:
+        raise QueryError("a pipeline needs one step at least")
+    rows = ctx.frames[t.name.lower()].where(F.lit(False)) if ctx.denied(request.type) else ctx.rows(t)
+    limit = ctx.limit(t) or OPEN
+    tables = {BASE: _labelled("the base", lambda: Table.of(rows.select(*[F.col(f"`{n}`") for n in t.names if limit.permits(n)])).held(request.clauses, request.logic))}
     for step in request.steps:
-        source = (step.reads or "").lower() or last
-        df, columns = frames[source], tracker.steps[source]
-        if step.joins and not step.clauses:
-            out = df
-        else:
-            held = predicates.where(step.clauses, step.logic is Logic.OR, lambda n: _col(columns, n))
-            out = df if held is None else df.where(held)
-        if step.aggregates:
-            out = _aggregated(out, step, columns)
-        else:
-            if step.joins:
-                out = _joined(ctx, out, step, columns, frames, tracker)
-            if step.windows:
-                out = out.withColumns(_windowed(step, columns))
-            scope = dict(columns) | {w.alias.lower(): w.alias for w in step.windows}
-            for name, text in step.derive:
-                out = out.withColumn(name, expression(text, scope.values(), name))
-                scope[name.lower()] = name
-            out = _plain(out) if step.derive else out
-            if step.select:
-                picks = []
-                joined = {j.source.lower(): j.source for j in step.joins}
-                for pick in step.select:
-                    prefix = joined.get(pick.source.lower(), "_input" if step.joins else "")
-                    own = tracker.source_columns(step, pick.source) if pick.source.lower() in joined else columns
-                    picks += [_col(own, n, prefix).alias(n) for n in own.values()] if pick.column is None else [_col(own, pick.column, prefix).alias(pick.alias or own[pick.column.lower()])]
-                more = [F.col(f"`{w.alias}`") for w in step.windows] + [F.col(f"`{n}`") for n, _ in step.derive]
-                out = out.select(*picks, *more)
+        _check_name(ctx, step.name, tables)
         # a name that is read twice is only planned twice; exchanges that are equal are run once
-        frames[step.name.lower()] = out
-        last = step.name.lower()
-    out = frames[last]
-    if [c.lower() for c in out.columns] != list(tracker.steps[last]):
-        raise AssertionError("the plan's columns differ from the tracked ones")
-    order = [F.col(f"`{s.field}`").desc() if s.descending else F.col(f"`{s.field}`").asc() for s in request.sorts]
-    if order:
-        out = out.orderBy(*order)
+        tables[step.name.lower()] = _labelled(step.name, lambda step=step: _built(ctx, step, tables))
+    last = list(tables.values())[-1]
+    order = _labelled("the final sort", lambda: [last[s.field].desc() if s.descending else last[s.field].asc() for s in request.sorts])
+    out = last.df.orderBy(*order) if order else last.df
     if request.limit is None:
         return out
     return out.limit(request.limit if request.limit > 0 else DEFAULT_LIMIT)
+
+
+def _labelled(where: str, build):
+    """What build gives; its errors say where they are from."""
+    try:
+        return build()
+    except QueryError as e:
+        raise QueryError(f"{where}: {e}") from e
+
+
+def _check_name(ctx: Context, name: str, tables: dict[str, Table]) -> None:
+    if not IDENTIFIER.match(name or ""):
+        raise QueryError(f"'{name}' is not a valid step name")
+    if name.lower() in tables or ctx.registry.get(name) is not None:
+        raise QueryError(f"step name '{name}' is taken by a step or a type")
+
+
+def _built(ctx: Context, step: Step, tables: dict[str, Table]) -> Table:
+    parts = {"a grouping": step.aggregates, "a key": step.keys, "windows": step.windows, "a select": step.select, "derived columns": step.derive, "joins": step.joins}
+    for one, other in APART:
+        if parts[one] and parts[other]:
+            raise QueryError(f"{one} and {other} cannot share a step")
+    for one, other in TOGETHER:
+        if parts[one] and not parts[other]:
+            raise QueryError(f"{one} needs {other}")
+    own = (step.reads or list(tables)[-1]).lower()
+    if own not in tables:
+        raise QueryError(f"it reads '{step.reads}', which is not an earlier step")
+    table = tables[own].held(step.clauses, step.logic)
+    if step.aggregates:
+        return _grouped(table, step)
+    if step.joins:
+        return _joined(ctx, table, own, step, tables)
+    return _widened(table, own, step)
+
+
+def _new_name(name: str | None, what: str, taken: Iterable[str]) -> str:
+    if not IDENTIFIER.match(name or ""):
+        raise QueryError(f"'{name}' is not a valid {what}")
+    if name.lower() in {t.lower() for t in taken}:
+        raise QueryError(f"two outputs are named '{name}'")
+    return name
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals of derived arithmetic as doubles."""
+    own = [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)]
+    return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in own}) if own else df
+
+
+def _grouped(table: Table, step: Step) -> Table:
+    keys: dict[str, Column] = {}
+    for name, unit in step.keys:
+        own = table.name(name)
+        out = _new_name(f"{own}_{unit.lower()}" if unit else own, "key", keys)
+        keys[out] = (truncate(table[name], unit) if unit else table[name]).alias(out)
+    metrics: dict[str, Column] = {}
+    for m in step.metrics:
+        out = _new_name(m.name, "metric name", [*keys, *metrics])
+        if m.type not in METRICS:
+            raise QueryError(f"{m.type.name} is not a metric")
+        given = table[m.field] if m.field else None
+        if m.expression:
+            given = expression(m.expression, table.names.values(), f"metric '{out}'")
+        if given is None and m.type is not Agg.COUNT:
+            raise QueryError(f"metric '{out}' needs a field or an expression")
+        metrics[out] = FUNCTIONS[m.type](F.lit(1) if given is None else given).alias(out)
+    # keys without metrics are their distinct combinations
+    df = _plain(table.df.groupBy(*keys.values()).agg(*metrics.values())) if metrics else table.df.select(*keys.values()).distinct()
+    return Table.of(df).held(step.having, Logic.AND)
+
+
+def _joined(ctx: Context, table: Table, own: str, step: Step, tables: dict[str, Table]) -> Table:
+    """The input joined to earlier steps or types, and a projection; each source's columns go under names of their own meanwhile."""
+    left = _apart(table, 0)
+    df, sources = left.df, {own: left}
+    if len({j.source.lower() for j in step.joins}) < len(step.joins):
+        raise QueryError("a source is joined twice")
+    for number, join in enumerate(step.joins, 1):
+        name = join.source.lower()
+        right = _apart(tables[name] if name in tables else _of_type(ctx, join.source), number)
+        if not join.on:
+            raise QueryError(f"the join to '{join.source}' needs a condition")
+        df = df.join(right.df, reduce(Column.__and__, [left[a] == right[b] for a, b in join.on]), join.kind.value)
+        sources[name] = right
+    return _projected(df, sources, own, left, step, ())
+
+
+def _apart(table: Table, number: int) -> Table:
+    names = {lower: f"_{number}_{name}" for lower, name in table.names.items()}
+    return Table(table.df.select(*[F.col(f"`{table.names[k]}`").alias(v) for k, v in names.items()]), names, table.whole)
+
+
+def _of_type(ctx: Context, name: str) -> Table:
+    """A registered type that the caller may read, with the fields that they may see."""
+    t = ctx.registry.get(name)
+    if t is None:
+        raise QueryError(f"'{name}' is neither an earlier step nor a type")
+    limit = ctx.limit(t)
+    if limit is None:
+        raise QueryError(f"type '{t.name}' is not permitted")
+    return Table.of(ctx.rows(t).select(*[F.col(f"`{n}`") for n in t.names if limit.permits(n)]), limit.allowed is None)
+
+
+def _widened(table: Table, own: str, step: Step) -> Table:
+    """The input with window and derived columns, and a projection of it if one is asked for."""
+    df, shown = table.df, list(table.names.values()) if not step.select else []
+    more: list[str] = []
+    for w in step.windows:
+        out = _new_name(w.alias, "window name", [*shown, *more])
+        field = table.name(w.field) if w.kind in windows.NEEDS_FIELD else None
+        df = windows.add(df, w.kind, out, table.name(w.order_by), w.descending, field, table.name(w.partition_by) if w.partition_by else None, w.offset)
+        more.append(out)
+    for name, text in step.derive:
+        out = _new_name(name, "name of a derived column", [*shown, *more])
+        df = df.withColumn(out, expression(text, [*table.names.values(), *more], f"'{out}'"))
+        more.append(out)
+    df = _plain(df) if step.derive else df
+    return _projected(df, {own: table}, own, table, step, more) if step.select else Table.of(df, table.whole)
+
+
+def _projected(df: DataFrame, sources: dict[str, Table], own: str, table: Table, step: Step, more: Iterable[str]) -> Table:
+    """The picks of a step's select and what the step adds; the input can be called by its name or, before any step, `base`."""
+    out: dict[str, Column] = {}
+
+    def add(label: str, column: Column) -> None:
+        out[_new_name(label, "alias", out)] = column.alias(label)
+
+    joined = {j.source.lower() for j in step.joins}
+    for pick in step.select:
+        name = pick.source.lower()
+        source = sources[name] if name in joined else table if name == own else None
+        if source is None:
+            raise QueryError(f"select source '{pick.source}' is neither the input nor joined")
+        if pick.column is None and not source.whole:
+            raise QueryError(f"all of '{pick.source}' is not permitted; select single columns")
+        for lower in source.names if pick.column is None else [(pick.column or "").lower()]:
+            where = source.name(lower)
+            add(pick.alias or _shown(where, name in joined or bool(joined)), F.col(f"`{where}`"))
+    for name in more:
+        add(name, F.col(f"`{name}`"))
+    return Table.of(df.select(*out.values()))
+
+
+def _shown(name: str, apart: bool) -> str:
+    """A column's own name, without the number of its source."""
+    return name.split("_", 2)[2] if apart else name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..authz import OPEN, Constraint
 from ..dsl import Clause, Join, Logic
@@ -53,7 +53,7 @@ def joined(ctx: Context, type_name: str, joins: Sequence[Join]) -> tuple[DataFra
     """
     primary = ctx.type(type_name)
     scope = Scope()
-    scope.add(primary, ctx.limit(primary) or OPEN)
+    scope.add(primary, ctx.limit(primary) or OPEN, ctx.frames[primary.name.lower()].schema)
     df = ctx.rows(primary).alias(primary.name)
     for join in joins:
         left, right = ctx.type(join.left_type), ctx.type(join.right_type)
@@ -62,7 +62,7 @@ def joined(ctx: Context, type_name: str, joins: Sequence[Join]) -> tuple[DataFra
         if scope.has(right.name):
             raise QueryError(f"'{right.name}' is joined twice")
         one = Scope([left], scope.limits).require(join.left_field, "join field")
-        scope.add(right, ctx.limit(right) or OPEN)
+        scope.add(right, ctx.limit(right) or OPEN, ctx.frames[right.name.lower()].schema)
         other = Scope([right], scope.limits).require(join.right_field, "join field")
         df = df.join(ctx.rows(right).alias(right.name), one == other, join.kind.value)
     return df, scope
@@ -70,7 +70,7 @@ def joined(ctx: Context, type_name: str, joins: Sequence[Join]) -> tuple[DataFra
 
 def filtered(df: DataFrame, scope: Scope, clauses: Sequence[Clause], logic: Logic) -> DataFrame:
     """df held to the clauses; those whose field is unknown are left out."""
-    found = predicates.where(clauses, logic is Logic.OR, scope.column)
+    found = predicates.where(clauses, logic is Logic.OR, scope.column, scope.kind)
     return df if found is None else df.where(found)
 
 
@@ -78,13 +78,16 @@ def having(df: DataFrame, clauses: Sequence[Clause], logic: Logic, strict: bool
     """df held to clauses on its own output columns."""
     names = {c.lower(): c for c in df.columns}
 
-    def resolve(name: str):
-        own = names.get(name.lower()) or names.get(name.rpartition(".")[2].lower())
-        if own is None:
-            if strict:
-                raise QueryError(f"HAVING names '{name}', which is not an output")
-            return None
-        return F.col(f"`{own}`")
+    def own(name: str) -> str | None:
+        found = names.get(name.lower()) or names.get(name.rpartition(".")[2].lower())
+        if found is None and strict:
+            raise QueryError(f"HAVING names '{name}', which is not an output")
+        return found
 
-    found = predicates.where(clauses, logic is Logic.OR, resolve)
+    found = predicates.where(clauses, logic is Logic.OR, lambda n: F.col(f"`{own(n)}`") if own(n) else None, lambda n: df.schema[own(n)].dataType)
     return df if found is None else df.where(found)
+
+
+def having_predicate(fields: dict[str, Column], clauses: Sequence[Clause], logic: Logic) -> Column | None:
+    """The clauses on a row that is not in a frame yet; those that name none of its fields are left out."""
+    return predicates.where(clauses, logic is Logic.OR, lambda n: fields.get(n.lower()) if n.lower() in fields else fields.get(n.rpartition(".")[2].lower()))

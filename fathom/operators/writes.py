@@ -76,3 +76,11 @@ def validate_relations(t: EntityType, row: dict) -> None:
         for one in value if many else [value]:
             if own is not None and own.kind == "guid" and (not GUID.match(str(one)) or str(one) == empty):
                 raise SchemaError(f"{t.name}.{r.key}: '{one}' is not a valid id")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or any(t.startswith(name.lower()) for t in taken):
+        name += "_"
+    return name

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..authz import OPEN, Constraint
 from ..errors import QueryError
@@ -18,10 +18,13 @@ class Scope:
 
     types: list[EntityType] = field(default_factory=list)
     limits: dict[str, Constraint] = field(default_factory=dict)
+    schemas: dict[str, StructType] = field(default_factory=dict)
 
-    def add(self, t: EntityType, limit: Constraint = OPEN) -> None:
+    def add(self, t: EntityType, limit: Constraint = OPEN, schema: StructType | None = None) -> None:
         self.types.append(t)
         self.limits[t.name.lower()] = limit
+        if schema is not None:
+            self.schemas[t.name.lower()] = schema
 
     def has(self, name: str) -> bool:
         return any(t.name.lower() == name.lower() for t in self.types)
@@ -48,11 +51,15 @@ class Scope:
         self.check_permitted(*found)
         return F.col(f"`{found[0].name}`.`{found[1]}`")
 
+    def kind(self, name: str) -> DataType | None:
+        """The type of a column as it is stored; None if it is not known."""
+        found = self.find(name)
+        schema = self.schemas.get(found[0].name.lower()) if found else None
+        return next((f.dataType for f in schema if f.name.lower() == found[1].lower()), None) if schema is not None else None
+
     def require(self, name: str, what: str) -> Column:
         own = self.column(name)
         if own is None:
             raise QueryError(f"unknown or ambiguous {what} '{name}'")
         return own
 
-
-Source = Callable[[EntityType], DataFrame]
