@@ -3,10 +3,11 @@
 A text's characters are symbols; candidate merges of neighbours wait in an agenda, best score first, leftmost first
 among equals. Each candidate is skipped if a hash of the seed, the document's key, the word's number in the document, its
 place and its two symbols falls below the dropout rate, so every occurrence of a word is drawn on its own, and the same
-on every run; with a rate of 0 the result is the library's. A word's undropped segmentation is remembered with all its
-candidates, and serves the occurrences whose candidates all pass; the others are segmented one by one. Words (with the spaces before them) cannot merge with each other, so agendas are processed word by
-word: many words at once in numpy, very long ones by a heap. Characters without a piece become bytes, so every
-segmentation decodes to the exact text.
+on every run; with a rate of 0 the result is the library's. A word's undropped segmentation is remembered with the
+merges that it does, and serves the occurrences that skip none of these (a candidate that another merge makes void
+before its turn is never asked); the others are segmented one by one. Words (with the spaces before them) cannot merge
+with each other, so agendas are processed word by word: many words at once in numpy, very long ones by a heap.
+Characters without a piece become bytes, so every segmentation decodes to the exact text.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ SPACE = "▁"
 RATE, SEED = 0.1, 1
 #: Symbols from which a word is processed by a heap, and words in one numpy batch.
 LONG_WORD, BATCH_WORDS = 192, 40_000
+#: Words whose undropped segmentation a worker keeps.
+KEPT_WORDS = 500_000
 #: Rows of an Arrow batch that are encoded at once.
 SLICE_ROWS = 128
 _CHUNK = re.compile(" *[^ ]+| +")
 _NONE = np.int64(1) << np.int64(62)
+#: Bits of a candidate's order that hold its place.
+_PLACE = (1 << 24) - 1
 
 
 def _code(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -45,13 +50,38 @@ def _skipped(key: np.ndarray, code: np.ndarray, rate: float) -> np.ndarray:
         return (mix(key + code) >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate
 
 
+class Kept:
+    """Undropped segmentations of words: their ids, and the codes of the merges in them."""
+
+    def __init__(self) -> None:
+        # word 0 stands for words that are not kept
+        self.number: dict[str, int] = {"": 0}
+        self.used = self.code_used = 0
+        self.flat, self.codes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
+        self.starts, self.counts, self.code_starts, self.code_counts = (np.zeros(1, np.int64) for _ in range(4))
+
+    def add(self, ids: np.ndarray, n: np.ndarray, codes: np.ndarray, number: np.ndarray) -> None:
+        self.starts, self.counts = np.append(self.starts, self.used + np.cumsum(n) - n), np.append(self.counts, n)
+        self.code_starts, self.code_counts = np.append(self.code_starts, self.code_used + np.cumsum(number) - number), np.append(self.code_counts, number)
+        self.flat, self.used = _appended(self.flat, self.used, ids)
+        self.codes, self.code_used = _appended(self.codes, self.code_used, codes)
+
+
+def _appended(into: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """into with more after its first `used` items, and how many are used now; it grows by doubling."""
+    while len(into) < used + len(more):
+        into = np.concatenate([into, np.zeros(len(into), into.dtype)])
+    into[used : used + len(more)] = more
+    return into, used + len(more)
+
+
 class Pieces:
     """Merge tables of a BPE model file."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.vocab_size()
         self.strings = [model.id_to_piece(i) for i in range(self.size)]
         special = {i for i in range(self.size) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
@@ -83,6 +113,26 @@ class Pieces:
             self.rank[i] = r
         keys = np.array(sorted(merges), np.int64)
         self._build(keys, np.array([merges[int(k)] for k in keys], np.int64))
+        self._take_apart(plain)
+        letters = set("".join(plain))
+        self.mark = next(c for c in map(chr, range(1, 32)) if c not in letters)
+        self.mark_id = int(self.byte_id[ord(self.mark)])
+        self.kept = Kept()
+
+    def _take_apart(self, plain: dict[str, int]) -> None:
+        """Each piece's characters, and the merges that make it: wherever it comes out, these were done."""
+        self.chars = np.zeros(self.size, np.int64)
+        self.chars[list(plain.values())] = [len(s) for s in plain]
+        # the first byte of a character counts for it
+        self.chars[[i for i, value in self.bytes.items() if not 0x80 <= value < 0xC0]] = 1
+        merged: list = []
+        self.segment_many([s.replace(SPACE, " ") for s in plain], np.zeros(len(plain), np.uint64), 0, merged)
+        word, *own = (np.concatenate(x) for x in zip(*merged))
+        piece = np.array(list(plain.values()), np.int64)[word]
+        order = np.argsort(piece, kind="stable")
+        self.own = [x[order] for x in own]
+        self.own_n = np.bincount(piece, minlength=self.size)
+        self.own_start = np.cumsum(self.own_n) - self.own_n
 
     def _build(self, keys: np.ndarray, made: np.ndarray) -> None:
         """An open hash table of the merges; how many probes it needs."""
@@ -126,56 +176,55 @@ class Pieces:
             order[_skipped(key, _code(left, right, place), rate)] = _NONE
         return made, order
 
-    def segment_many(self, words: list[str], keys: np.ndarray, rate: float, tried: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all words one after another, and how many each has. tried gets the words and codes of the candidates."""
-
-        def note(at: np.ndarray) -> None:
-            if tried is not None:
-                at = at[made[at] >= 0]
-                tried.append((word[at], _code(sym[at], sym[at + 1], place[at])))
+    def segment_many(self, words: list[str], keys: np.ndarray, rate: float, merged: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words one after another, and how many each has. merged gets (word, left, right, place) of every merge done.
 
+        Each round does the first merge of every word's agenda. A candidate's order holds its place in the word, so
+        the least order of a word says where its symbol is; only the orders are scanned, the rest is linked.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        n = len(sym)
+        first = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        last = np.append(word[1:] != word[:-1], True) if len(sym) else np.zeros(0, bool)
-        made, order = np.full(len(sym), -1), np.full(len(sym), _NONE)
-        at = np.flatnonzero(~last)
+        place = np.arange(n) - first[word]
+        # n stands for no symbol
+        sym, alive = np.append(sym, 0), np.ones(n + 1, bool)
+        nxt, prev = np.arange(1, n + 2), np.arange(-1, n)
+        ends, some = first + sizes, sizes > 0
+        nxt[ends[some] - 1], prev[first[some]] = n, n
+        made, order = np.full(n + 1, -1), np.full(n, _NONE)
+        at = np.flatnonzero(nxt[:n] < n)
         made[at], order[at] = self.best(sym[at], sym[at + 1], keys[word[at]], place[at], rate)
-        note(at)
-        done_sym, done_word, done_place = [], [], []
-        while len(sym):
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            least = np.minimum.reduceat(order, starts)
-            counts = np.diff(starts, append=len(sym))
-            going = least < _NONE
-            if not going.all():
-                stay = np.repeat(going, counts)
-                done_sym.append(sym[~stay])
-                done_word.append(word[~stay])
-                done_place.append(place[~stay])
-                sym, word, place, made, order, last = (x[stay] for x in (sym, word, place, made, order, last))
-                least, counts = least[going], counts[going]
-                if not len(sym):
+        going = np.flatnonzero(sizes > 1)
+        begin, held = first[going], len(going)
+        while len(going):
+            least = np.minimum.reduceat(order, begin)
+            open_ = least < _NONE
+            if not open_.all():
+                # the orders of a word that is done are no candidates, so they can stay between those of others
+                going, begin, least = going[open_], begin[open_], least[open_]
+                if not len(going):
                     break
-            # places differ inside a word, so one symbol of each word has its least order
-            hit = np.flatnonzero(order == np.repeat(least, counts))
-            sym[hit] = made[hit]
-            last[hit] = last[hit + 1]
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            moved = np.cumsum(keep) - 1
-            sym, word, place, made, order, last = (x[keep] for x in (sym, word, place, made, order, last))
-            hit = moved[hit]
-            before = hit[(hit > 0) & (word[hit - 1] == word[hit])] - 1
-            fresh = np.concatenate([hit[~last[hit]], before])
-            made[hit], order[hit] = -1, _NONE
-            made[fresh], order[fresh] = self.best(sym[fresh], sym[fresh + 1], keys[word[fresh]], place[fresh], rate)
-            note(fresh)
-        if not done_sym:
-            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
-        sym, word, place = map(np.concatenate, (done_sym, done_word, done_place))
-        return sym[np.lexsort((place, word))], np.bincount(word, minlength=len(words))
+            left = first[going] + (least & _PLACE)
+            right = nxt[left]
+            if merged is not None:
+                merged.append((going, sym[left], sym[right], place[left]))
+            sym[left], alive[right] = made[left], False
+            after, before = nxt[right], prev[left]
+            nxt[left], prev[after] = after, left
+            order[begin + place[left]] = _NONE
+            order[begin + place[right]] = _NONE
+            a, b = np.flatnonzero(after < n), np.flatnonzero(before < n)
+            one = np.concatenate([left[a], before[b]])
+            owner, base = np.concatenate([going[a], going[b]]), np.concatenate([begin[a], begin[b]])
+            made[one], order[base + place[one]] = self.best(sym[one], sym[nxt[one]], keys[owner], place[one], rate)
+            if 2 * len(going) < held:
+                lengths = sizes[going]
+                moved = np.cumsum(lengths) - lengths
+                order = order[np.repeat(begin - moved, lengths) + np.arange(lengths.sum())]
+                begin, held = moved, len(going)
+        return sym[:n][alive[:n]], np.bincount(word[alive[:n]], minlength=len(words))
 
     def segment_long(self, word: str, key: np.uint64, rate: float) -> np.ndarray:
         """The same for one word, by a heap of candidates over linked symbols."""
@@ -217,17 +266,14 @@ class Pieces:
             out[ends[k] - len(c) : ends[k]] = self.byte_id[list(c)]
         return out, np.bincount(owner, weights=widths, minlength=len(counts)).astype(np.int64)
 
-    def segment(self, words: list[str], keys: np.ndarray, rate: float, tried: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def segment(self, words: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in some order, where each word's start in them, and how many each has."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         parts, starts, counts = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         short, at = np.flatnonzero(lengths < LONG_WORD), 0
         for k in range(0, len(short), BATCH_WORDS):
             some = short[k : k + BATCH_WORDS]
-            own = None if tried is None else []
-            sym, n = self.with_bytes(*self.segment_many([words[i] for i in some], keys[some], rate, own))
-            if tried is not None:
-                tried += [(some[w], c) for w, c in own]
+            sym, n = self.with_bytes(*self.segment_many([words[i] for i in some], keys[some], rate))
             parts.append(sym)
             starts[some], counts[some] = at + np.cumsum(n) - n, n
             at += len(sym)
@@ -239,31 +285,68 @@ class Pieces:
             at += len(sym)
         return np.concatenate(parts) if parts else np.zeros(0, np.int64), starts, counts
 
+    def remember(self, words: list[str]) -> None:
+        """Keep the undropped segmentations of words that are not kept yet, with the codes of all merges in them."""
+        # the library does not tell U+2581 from a space
+        plain = np.array([SPACE not in w and self.mark not in w for w in words], bool)
+        n, ids = np.zeros(len(words), np.int64), []
+        if plain.any():
+            # one text, each word after a character that merges with nothing
+            coded = np.asarray(self.library.encode(self.mark + self.mark.join([w for w, x in zip(words, plain) if x]), return_type="numpy"), np.int64)
+            marks = np.flatnonzero(coded == self.mark_id)
+            n[plain] = np.diff(marks, append=len(coded)) - 1
+            ids.append(np.delete(coded, marks)[marks[0] :])
+        start = np.zeros(len(words), np.int64)
+        start[plain] = np.cumsum(n[plain]) - n[plain]
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            flat, at, n[odd] = self.segment([words[i] for i in odd], np.zeros(len(odd), np.uint64), 0)
+            start[odd] = at + (len(ids[0]) if ids else 0)
+            ids.append(flat)
+        ids = np.concatenate(ids)
+        if len(odd):
+            ids = ids[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ends = np.cumsum(self.chars[ids])
+        offset = ends - self.chars[ids]
+        offset -= np.repeat(np.concatenate([[0], ends])[np.cumsum(n) - n], n)
+        many = self.own_n[ids]
+        row = np.repeat(self.own_start[ids] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        codes = _code(self.own[0][row], self.own[1][row], self.own[2][row] + np.repeat(offset, many))
+        number = np.bincount(np.repeat(np.arange(len(words)), n), weights=many, minlength=len(words)).astype(np.int64)
+        self.kept.add(ids, n, codes, number)
+
     def encode_batch(self, texts: list[str], keys: list[int], rate: float = RATE, seed: int = SEED) -> list[np.ndarray]:
         """Ids of each text. keys: what makes the texts' segmentations vary, such as hashes of their ids."""
-        seen: dict[str, int] = {}
-        rows, draws = [], []
+        if len(self.kept.number) > KEPT_WORDS:
+            self.kept = Kept()
+        kept, words, sizes, draws = self.kept, [], [], []
         for text, key in zip(texts, keys):
-            words = _CHUNK.findall(" " + text) if text else []
-            rows.append(np.array([seen.setdefault(w, len(seen)) for w in words], np.int64))
+            own = _CHUNK.findall(" " + text) if text else []
+            words += own
+            sizes.append(len(own))
             with np.errstate(over="ignore"):
-                draws.append(mix(np.arange(len(words), dtype=np.uint64) + mix(np.full(1, (key ^ seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1, np.uint64))))
-        words, sizes = list(seen), [len(r) for r in rows]
-        which = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+                draws.append(mix(np.arange(len(own), dtype=np.uint64) + mix(np.full(1, (key ^ seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1, np.uint64))))
+        draw = np.concatenate(draws) if draws else np.zeros(0, np.uint64)
+        found = list(map(kept.number.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
+        if gaps:
+            fresh = list(dict.fromkeys(words[i] for i in gaps if len(words[i]) < LONG_WORD))
+            kept.number.update(zip(fresh, range(len(kept.counts), len(kept.counts) + len(fresh))))
+            if fresh:
+                self.remember(fresh)
+            for i in gaps:
+                found[i] = kept.number.get(words[i], 0)
+        which = np.array(found, np.int64)
+        starts, counts = kept.starts[which], kept.counts[which]
+        # long words hardly ever pass whole
+        varied = np.flatnonzero(which == 0)
         if rate > 0:
-            # long words hardly ever pass whole
-            long = np.fromiter((len(w) >= LONG_WORD for w in words), bool, len(words))
-            tried: list = []
-            flat, starts, counts = self.segment([w if len(w) < LONG_WORD else "" for w in words], np.zeros(len(words), np.uint64), 0, tried)
-            draw = np.concatenate(draws) if draws else np.zeros(0, np.uint64)
-            varied = self._varied(which, draw, long, tried, rate)
-            more, at, n = self.segment([words[i] for i in which[varied]], draw[varied], rate)
-            starts, counts = starts[which], counts[which]
+            varied = np.union1d(varied, self._varied(which, draw, kept, rate))
+        flat = kept.flat[: kept.used]
+        if len(varied):
+            more, at, n = self.segment([words[i] for i in varied.tolist()], draw[varied], rate)
             starts[varied], counts[varied] = len(flat) + at, n
             flat = np.concatenate([flat, more])
-        else:
-            flat, starts, counts = self.segment(words, np.zeros(len(words), np.uint64), 0)
-            starts, counts = starts[which], counts[which]
         out, at = [], 0
         for size in sizes:
             n, first = counts[at : at + size], starts[at : at + size]
@@ -273,18 +356,15 @@ class Pieces:
         return out
 
     @staticmethod
-    def _varied(which: np.ndarray, draw: np.ndarray, long: np.ndarray, tried: list, rate: float) -> np.ndarray:
-        """The occurrences of which a candidate is skipped, and all of long words. which: each occurrence's word."""
-        word, code = (np.concatenate(x) for x in zip(*tried)) if tried else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        code, number = code[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(long))
-        first = np.cumsum(number) - number
-        skip = long[which]
+    def _varied(which: np.ndarray, draw: np.ndarray, kept: Kept, rate: float) -> np.ndarray:
+        """The occurrences of which a merge is skipped that the kept segmentation does. which: each occurrence's word."""
+        skip = np.zeros(len(which), bool)
         for k in range(0, len(which), BATCH_WORDS):
             some = which[k : k + BATCH_WORDS]
-            n = number[some]
+            n = kept.code_counts[some]
             owner = np.repeat(np.arange(len(some)), n)
-            at = np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(len(owner))
-            skip[k + owner[_skipped(draw[k : k + BATCH_WORDS][owner], code[at], rate)]] = True
+            at = np.repeat(kept.code_starts[some] - np.cumsum(n) + n, n) + np.arange(len(owner))
+            skip[k + owner[_skipped(draw[k : k + BATCH_WORDS][owner], kept.codes[at], rate)]] = True
         return np.flatnonzero(skip)
 
     def decode(self, ids) -> str:
