@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import secrets
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -67,6 +69,12 @@ class Constraint:
 OPEN = Constraint()
 
 
+def new_key() -> str:
+    """A UUID of version 7: keys of later entities are greater."""
+    value = time.time_ns() // 1_000_000 << 80 | secrets.randbits(80)
+    return str(uuid.UUID(int=value & ~(0xF << 76) & ~(0x3 << 62) | 0x7 << 76 | 0x2 << 62))
+
+
 def valid_tenant(tenant: str | None) -> bool:
     return bool(tenant) and bool(TENANT_ID.match(tenant))
 
@@ -106,7 +114,7 @@ def prepare_write(t: EntityType, rules: Rules | None, caller: Caller, row: dict,
             raise DeniedError(f"{name} cannot be written")
     if stored is None:
         if make_key or not row.get(t.key):
-            row[t.key] = str(uuid.uuid4())
+            row[t.key] = new_key()
         if t.tenant_field:
             row[t.tenant_field] = caller.tenant
         if t.owner_field and limits.owner_field:

@@ -1,17 +1,21 @@
-"""The engine: requests in, frames out."""
+"""The engine: requests in, frames out; writes in, events out."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import authz, dsl, session
-from .errors import DeniedError, QueryError, UnavailableError
+from .errors import DeniedError, PreconditionError, QueryError, UnavailableError
 from .operators import facets, grouping, pipeline, retrieval, search, similarity, writes
 from .operators.relational import Context
 from .schema import EntityType, Registry, migrate
+from .streaming import projection
+from .streaming.outbox import Log
+from .tenants import Tenants
 
 
 @dataclass
@@ -24,27 +28,41 @@ class Engine:
     rules: dict[str, authz.Rules] | None = None
     vectors: similarity.VectorStore | None = None
     columnar: bool = True
+    log: Log | None = None
+    tenants: Tenants | None = None
+    produce: Callable[[DataFrame], None] | None = None
 
     def __post_init__(self) -> None:
         session.configure(self.spark)
+        self.log = self.log or Log(self.spark)
+        self.bases = dict(self.frames)
+        for name in self.frames:
+            self._refresh(name)
 
     def register(self, t: EntityType, rows: DataFrame | None = None) -> Engine:
         """Declare a type, or declare it anew: stored rows take its shape."""
         self.registry.register(t)
         name = t.name.lower()
         if rows is not None:
-            self.frames[name] = rows
-        elif name in self.frames:
-            self.frames[name] = migrate(self.frames[name], t)
+            self.bases[name] = rows
+        elif name in self.bases:
+            self.bases[name] = migrate(self.bases[name], t)
         else:
-            self.frames[name] = self.spark.createDataFrame([], t.spark_schema())
+            self.bases[name] = self.spark.createDataFrame([], t.spark_schema())
+        self._refresh(name)
         return self
 
+    def _refresh(self, name: str) -> None:
+        """The rows that a type began with, and over them what the log says: a plan of one size, however many writes there were."""
+        base, t = self.bases[name], self.registry.get(name)
+        written = self.log.path is not None or any(e[1].lower() == name for e in self.log.held)
+        self.frames[name] = projection.merge(base, self.log.events(), _stored(t, base)) if t is not None and written else base
+
     def _limits(self, caller: authz.Caller | None) -> dict | None:
         if self.rules is None:
             return None
-        if caller is not None and caller.suspended:
-            raise DeniedError("the tenant is suspended")
+        if caller is not None and (caller.suspended or (self.tenants is not None and not self.tenants.active(caller.tenant))):
+            raise DeniedError("the tenant is unknown, suspended or deleted")
         return {t.name.lower(): authz.evaluate(t, self.rules.get(t.name.lower()), caller) for t in self.registry}
 
     def context(self, caller: authz.Caller | None = None) -> Context:
@@ -52,7 +70,7 @@ class Engine:
 
     def _columnar(self, caller: authz.Caller | None) -> Context:
         if not self.columnar:
-            raise UnavailableError("the columnar store is switched off")
+            raise PreconditionError("the columnar store is switched off")
         return self.context(caller)
 
     def search(self, request: dsl.SearchRequest, caller: authz.Caller | None = None) -> DataFrame:
@@ -71,7 +89,10 @@ class Engine:
         return pipeline.pipeline(self._columnar(caller), request)
 
     def get(self, type_name: str, key, caller: authz.Caller | None = None, depth: int = 0) -> DataFrame:
+        """The entity of a key, or no row; a type that is not registered has none."""
         ctx = self.context(caller)
+        if ctx.registry.get(type_name) is None:
+            return self.spark.createDataFrame([], "key string")
         rows = retrieval.get(ctx, type_name, key)
         return retrieval.with_relations(ctx, type_name, rows, depth) if depth > 0 else rows
 
@@ -95,7 +116,7 @@ class Engine:
         return similarity.passages(ctx, self._vectors(), ctx.type(request.type), request.property, request.text, request.top_k, request.clauses)
 
     def persist(self, type_name: str, row: dict, caller: authz.Caller | None = None, make_key: bool = False, update: bool = False) -> str:
-        """Write one entity and give its key; make_key ignores a key that the row brings."""
+        """Write one entity and give its key; make_key ignores a key that the row brings. Columns that the row lacks become null."""
         t = self.context(caller).type(type_name)
         writes.validate_relations(t, row)
         stored = None
@@ -107,27 +128,39 @@ class Engine:
         if self.rules is not None:
             row = authz.prepare_write(t, self.rules.get(t.name.lower()), caller, row, stored, make_key)
         elif make_key or not row.get(t.key):
-            import uuid
-
-            row = row | {t.key: str(uuid.uuid4())}
+            row = row | {t.key: authz.new_key()}
         names = {n.lower(): n for n in t.names}
         clean = {names[k.lower()]: v for k, v in row.items() if k.lower() in names and not isinstance(v, dict)}
-        schema = self.frames[t.name.lower()].schema
+        schema = self.bases[t.name.lower()].schema
         change = self.spark.createDataFrame([tuple(clean.get(f.name) for f in schema)], schema)
-        self.frames[t.name.lower()] = writes.upsert(self.frames[t.name.lower()], change, t.key)
+        payload = change.select(F.to_json(F.struct("*"))).first()[0]
+        self._write("updated" if update else "created", t, str(row[t.key]), payload)
         return row[t.key]
 
     def delete(self, type_name: str, key, caller: authz.Caller | None = None) -> bool:
-        """Delete the entity of a key if the caller may see it."""
+        """Delete the entity of a key if the caller may see it; the event holds what it was."""
         ctx = self.context(caller)
         t = ctx.type(type_name)
-        gone = retrieval.get(ctx, type_name, key).select(t.key)
-        if gone.isEmpty():
+        gone = retrieval.get(ctx, type_name, key).select(F.col(f"`{t.key}`").cast("string").alias("key")).first()
+        if gone is None:
             return False
-        keys = self.spark.createDataFrame(gone.collect(), gone.schema)
-        self.frames[t.name.lower()] = writes.delete(self.frames[t.name.lower()], keys, t.key)
+        whole = self.frames[t.name.lower()].where(F.col(f"`{t.key}`").cast("string") == gone.key)
+        self._write("deleted", t, gone.key, whole.select(F.to_json(F.struct("*"))).first()[0])
         return True
 
+    def _write(self, op: str, t: EntityType, key: str, payload: str) -> None:
+        """One append to the log, then a first try to publish it; what fails is left to the log's poller."""
+        targets = projection.COLUMNAR * t.columnar | projection.VECTOR * t.vectorised | projection.ENRICHMENT * any(c.enrichment for c in t.columns)
+        self.log.append(op, t.name, [(key, payload)], targets, dt.datetime.now(dt.timezone.utc))
+        self._refresh(t.name.lower())
+        if self.produce is not None:
+            self.log.publish(self.produce)
+
+
+def _stored(t: EntityType, base: DataFrame) -> EntityType:
+    """The type with the columns of its rows, as the log's payloads have them; every tenant's rows count here."""
+    return EntityType.of_frame(t.name, t.key, base)
+
 
 class Coordinator:
     """One type's entities for an application: rows as dicts."""

@@ -22,4 +22,12 @@ def articles(spark: SparkSession, n: int = 400_000, authors: int = 50_000) -> Da
 
 def authors(spark: SparkSession, n: int = 50_000) -> DataFrame:
     rows = spark.range(n)
-    return rows.select(F.col("id").cast("string").alias("Id"), F.concat(F.lit("Author "), F.col("id")).alias("Name"), F.concat(F.lit("a"), F.col("id"), F.lit("@example.com")).alias("Email"), F.concat(F.lit("tenant-"), F.col("id") % 2).alias("TenantId"))
+    owner = F.when(F.col("id") % 100 == 0, "known-user").otherwise(F.concat(F.lit("user-"), F.col("id") % 1000))
+    return rows.select(
+        F.col("id").cast("string").alias("Id"), F.concat(F.lit("Author "), F.col("id")).alias("Name"), F.concat(F.lit("a"), F.col("id"), F.lit("@example.com")).alias("Email"),
+        owner.alias("OwnerId"), F.concat(F.lit("tenant-"), F.col("id") % 2).alias("TenantId"),
+    )
+
+
+def tags(spark: SparkSession, n: int = 10_000) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("string").alias("Id"), F.concat(F.lit("tag-"), F.col("id")).alias("Name"), F.concat(F.lit("tenant-"), F.col("id") % 2).alias("TenantId"))

@@ -1,7 +1,9 @@
-"""Changelogs to projections: the last event of each key wins, deletes are tombstones, bad events are set aside.
+"""Changelogs to projections: of each key the event with the highest offset holds, deletes are tombstones.
 
-A projection is a folder of generations. Each micro-batch is merged into the newest one and written beside it under
-the batch's number, so a batch that is run again after a failure writes the same generation again.
+A projection is a folder of a base and deltas. Each micro-batch writes one delta: its last event of each key, with its
+offset, a deleted key as a tombstone. Reading takes the highest offset of each key over all of them, so batches may come
+late, twice or in any order and a late event never brings back what a later one has replaced or deleted. Deltas are
+folded into a new base now and then.
 """
 
 from __future__ import annotations
@@ -11,14 +13,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..errors import UnavailableError
 from ..operators.writes import latest
 from ..schema import EntityType
+from ..sources import files
+from .letters import DeadLetters
 
 EVENT_SCHEMA = "op string, type string, key string, payload string, targets int, offset long, occurred_at timestamp"
 # Bits of the stores that an event is meant for.
 COLUMNAR, VECTOR, ENRICHMENT = 1, 2, 4
 MAX_ATTEMPTS = 3
+#: Deltas that are folded into a new base.
+FOLD_AFTER = 16
 
 
 def last_events(events: DataFrame) -> DataFrame:
@@ -26,71 +31,134 @@ def last_events(events: DataFrame) -> DataFrame:
     return latest(events, ["type", "key"], [F.desc("offset")])
 
 
+def loose(t: EntityType) -> T.StructType:
+    """A type's columns, all of which may be null."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in t.spark_schema()])
+
+
 def split_events(events: DataFrame, t: EntityType, target: int = COLUMNAR) -> tuple[DataFrame, DataFrame]:
     """(good, bad): the events of a type that are meant for a store, parsed to `row`; those that cannot be parsed."""
-    schema = t.spark_schema()
-    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-    own = events.where((F.lower("type") == t.name.lower()) & (F.col("targets").bitwiseAND(target) != 0))
-    own = own.withColumn("row", F.from_json("payload", loose)).withColumn("op", F.lower("op"))
+    # a message that could not be read is of no type, and everyone's
+    own = events.where((F.col("type").isNull() | (F.lower("type") == t.name.lower())) & (F.col("targets").bitwiseAND(target) != 0))
+    own = own.withColumn("row", F.from_json("payload", loose(t))).withColumn("op", F.lower("op"))
     deleted = F.col("op") == "deleted"
     fine = F.col("key").isNotNull() & (deleted | (F.col("op").isin("created", "updated") & F.col(f"row.`{t.key}`").isNotNull()))
-    fine = F.coalesce(fine, F.lit(False))
+    fine = F.coalesce(fine & F.col("type").isNotNull(), F.lit(False))
     return own.where(fine), own.where(~fine).drop("row")
 
 
-def merge(stored: DataFrame, events: DataFrame, t: EntityType, target: int = COLUMNAR) -> DataFrame:
-    """stored after the events: rows are replaced in full or deleted."""
+def rederived(good: DataFrame, t: EntityType, records: DataFrame) -> DataFrame:
+    """Parsed events whose rows have the tenant and owner of the stored record, whatever the payload says; none without a record."""
+    roles = [c for c in (t.tenant_field, t.owner_field) if c]
+    if not roles:
+        return good
+    stored = records.select(F.col(f"`{t.key}`").cast("string").alias("_key"), *[F.col(f"`{c}`").alias(f"_{c}") for c in roles])
+    joined = good.join(stored, good["key"] == F.col("_key"), "left")
+    fields = [(F.col(f"`_{f.name}`").cast(f.dataType) if f.name in roles else F.col(f"row.`{f.name}`")).alias(f.name) for f in loose(t)]
+    row = F.when(F.col("row").isNotNull(), F.struct(*fields))
+    return joined.select(*[row.alias("row") if c == "row" else F.col(f"`{c}`") for c in good.columns])
+
+
+def delta(events: DataFrame, t: EntityType, target: int = COLUMNAR, records: DataFrame | None = None) -> DataFrame:
+    """(the type's columns, _key, _offset, _deleted): the last event of each key. A row without a tenant belongs to nobody and is passed over."""
     good, _ = split_events(events, t, target)
-    last = last_events(good)
-    key = F.col(f"`{t.key}`").cast("string")
-    kept = stored.withColumn("_key", key).join(last.select(F.col("key").alias("_key")), "_key", "left_anti").drop("_key")
+    if records is not None:
+        good = rederived(good, t, records)
     if t.tenant_field:
-        # a row without a tenant belongs to nobody
-        last = last.where((F.col("op") == "deleted") | F.col(f"row.`{t.tenant_field}`").isNotNull())
-    rows = last.where("op <> 'deleted'").select(*[F.col(f"row.`{c}`").alias(c) for c in stored.columns])
-    return kept.unionByName(rows)
+        good = good.where((F.col("op") == "deleted") | F.col(f"row.`{t.tenant_field}`").isNotNull())
+    deleted = F.col("op") == "deleted"
+    own = [F.when(~deleted, F.col(f"row.`{f.name}`")).alias(f.name) for f in loose(t)]
+    return last_events(good).select(*own, F.col("key").alias("_key"), F.col("offset").alias("_offset"), deleted.alias("_deleted"))
+
+
+def folded(deltas: DataFrame) -> DataFrame:
+    """Of each key what the highest offset says, tombstones too."""
+    own = [c for c in deltas.columns if c != "_key"]
+    return deltas.groupBy("_key").agg(F.max_by(F.struct(*own), "_offset").alias("_last")).select(*[F.col(f"_last.`{c}`") if c != "_key" else F.col("_key") for c in deltas.columns])
+
+
+def living(deltas: DataFrame, t: EntityType) -> DataFrame:
+    """The rows that deltas in any order come to."""
+    return folded(deltas).where(~F.col("_deleted")).select(*[F.col(f"`{n}`") for n in t.names])
+
+
+def merge(stored: DataFrame, events: DataFrame, t: EntityType, target: int = COLUMNAR, records: DataFrame | None = None) -> DataFrame:
+    """stored after events that are all later than it: rows are replaced in full or deleted."""
+    last = delta(events, t, target, records)
+    key = F.col(f"`{t.key}`").cast("string")
+    kept = stored.withColumn("_key", key).join(last.select("_key"), "_key", "left_anti").drop("_key")
+    return kept.unionByName(last.where(~F.col("_deleted")).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in stored.schema]))
 
 
 @dataclass
 class Projection:
-    """A type's rows in a folder, kept in step with a changelog."""
+    """A type's rows in a folder, kept in step with a changelog. records: stored rows that tenants and owners are read from."""
 
     spark: SparkSession
     type: EntityType
     path: str
     target: int = COLUMNAR
-
-    def _fs(self):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def generations(self) -> list[int]:
-        fs, place = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(place):
-            return []
-        names = [s.getPath() for s in fs.listStatus(place)]
-        done = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("g")) for p in done if p.getName().startswith("g"))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        own = [g for g in self.generations() if before is None or g < before]
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in self.type.spark_schema()])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/g{own[-1]}") if own else self.spark.createDataFrame([], schema)
-
-    def apply(self, events: DataFrame, batch: int) -> None:
-        """Merge one micro-batch; idempotent by its number. The last two generations are kept."""
-        merge(self.read(batch), events, self.type, self.target).write.mode("overwrite").parquet(f"{self.path}/g{batch}")
-        for g in self.generations()[:-2]:
-            self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/g{g}"), True)
-
-    def follow(self, events: DataFrame, checkpoint: str, dead: str | None = None, once: bool = True):
-        """Start keeping the projection in step with a stream; unparsable events go to the folder `dead`."""
+    records: Callable[[], DataFrame] | None = None
+    fold_after: int = FOLD_AFTER
+
+    def parts(self) -> tuple[int, list[str]]:
+        """(number of the newest base or -1, the folders that the projection is read from)."""
+        done = files.complete(self.spark, self.path)
+        base = max((int(n[1:]) for n in done if n.startswith("b")), default=-1)
+        deltas = sorted(int(n[1:]) for n in done if n.startswith("d") and int(n[1:]) > base)
+        return base, [f"{self.path}/b{base}"] * (base >= 0) + [f"{self.path}/d{n}" for n in deltas]
+
+    def _all(self, folders: list[str]) -> DataFrame:
+        schema = T.StructType([*loose(self.type), T.StructField("_key", T.StringType()), T.StructField("_offset", T.LongType()), T.StructField("_deleted", T.BooleanType())])
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame:
+        return living(self._all(self.parts()[1]), self.type)
+
+    def top_offset(self) -> int:
+        """The highest offset applied; -1 before the first."""
+        return self._all(self.parts()[1]).agg(F.coalesce(F.max("_offset"), F.lit(-1))).first()[0]
+
+    def apply(self, events: DataFrame) -> None:
+        """Merge one micro-batch as a new delta. A batch that comes again changes nothing, as its offsets are the same."""
+        records = self.records() if self.records else None
+        number = max((int(n[1:]) for n in files.names(self.spark, self.path) if n[1:].isdigit()), default=-1) + 1
+        delta(events, self.type, self.target, records).write.mode("overwrite").parquet(f"{self.path}/d{number}")
+        if len(self.parts()[1]) > self.fold_after:
+            self.fold()
+
+    def fold(self) -> None:
+        """Write base and deltas as a new base. What it replaces stays until the next one, for those who read it.
+
+        Tombstones stay, too, for events that come late.
+        """
+        base, folders = self.parts()
+        numbers = [int(f.rpartition("/")[2][1:]) for f in folders]
+        if not folders or max(numbers) == base:
+            return
+        folded(self._all(folders)).write.mode("overwrite").parquet(f"{self.path}/b{max(numbers)}")
+        old = [n for n in files.names(self.spark, self.path) if n[1:].isdigit() and (int(n[1:]) < base or n == f"d{base}")]
+        files.delete(self.spark, *[f"{self.path}/{n}" for n in old])
+
+    def follow(self, events: DataFrame, checkpoint: str, dead: str | None = None, once: bool = True, attempts: int = MAX_ATTEMPTS, wait: float = 1.0):
+        """Start keeping the projection in step with a stream.
+
+        Events that cannot be read go to the dead letters in the folder `dead` at once, a batch that fails `attempts` times as a
+        whole; then the stream goes on. Without dead letters, or if they cannot be written, it halts.
+        """
+        letters = DeadLetters(self.spark, dead) if dead else None
 
         def handle(batch: DataFrame, number: int) -> None:
-            with_retries(lambda: self.apply(batch, number))
-            if dead:
-                _, bad = split_events(batch, self.type, self.target)
-                bad.withColumn("error", F.lit("payload cannot be read")).withColumn("batch", F.lit(number)).withColumn("replayed", F.lit(False)).write.mode("overwrite").parquet(f"{dead}/b{number}")
+            good, bad = split_events(batch, self.type, self.target)
+            try:
+                with_retries(lambda: self.apply(batch), attempts, wait)
+            except Exception as e:
+                if letters is None:
+                    raise
+                letters.add(good.drop("row").unionByName(bad), f"a{number}", f"{type(e).__name__}: {e}"[:500], attempts)
+                return
+            if letters is not None:
+                letters.add(bad, f"p{number}", "payload cannot be read", 1)
 
         writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer).start()
@@ -109,38 +177,17 @@ def with_retries(action: Callable[[], None], attempts: int = MAX_ATTEMPTS, wait:
             time.sleep(wait * 2**k)
 
 
-def dead_letters(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
-    """Events set aside and not replayed, newest first."""
-    try:
-        rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    except Exception as e:
-        raise UnavailableError("there are no dead letters") from e
-    return rows.where("NOT replayed").orderBy(F.desc("offset")).limit(limit)
-
+def reconcile(rows: DataFrame, t: EntityType, targets: int = COLUMNAR | VECTOR | ENRICHMENT, above: int = 0) -> DataFrame:
+    """Every row as an `updated` event, to project a type anew.
 
-def replay(rows: DataFrame) -> DataFrame:
-    """Dead letters as events again."""
-    return rows.select("op", "type", "key", "payload", "targets", "offset", "occurred_at")
-
-
-def reconcile(rows: DataFrame, t: EntityType, targets: int = COLUMNAR | VECTOR | ENRICHMENT) -> DataFrame:
-    """Every row as an `updated` event, to project a type anew."""
+    Their offset is `above`, the highest one in use (Projection.top_offset): older events lose to them, later ones win.
+    """
     return rows.select(
         F.lit("updated").alias("op"), F.lit(t.name).alias("type"), F.col(f"`{t.key}`").cast("string").alias("key"), F.to_json(F.struct("*")).alias("payload"),
-        F.lit(targets).alias("targets"), F.monotonically_increasing_id().alias("offset"), F.current_timestamp().alias("occurred_at"),
+        F.lit(targets).alias("targets"), F.lit(above).cast("long").alias("offset"), F.current_timestamp().alias("occurred_at"),
     )
 
 
-def outbox_batch(outbox: DataFrame, size: int = 100, attempts: int = 10) -> DataFrame:
-    """The oldest pending entries that have attempts left."""
-    return outbox.where(F.col("attempts") < attempts).orderBy("id").limit(size)
-
-
-def outbox_counts(outbox: DataFrame, attempts: int = 10) -> DataFrame:
-    """(pending, exhausted)."""
-    return outbox.agg(F.count_if(F.col("attempts") < attempts).alias("pending"), F.count_if(F.col("attempts") >= attempts).alias("exhausted"))
-
-
 def enrichment_hash(t: EntityType) -> Column:
     """SHA-256 of an entity's source texts and of what is asked for: equal hashes need no new enrichment."""
     spec = ";".join(f"{c.name}={c.enrichment}:{c.hint}" for c in t.columns if c.enrichment)
@@ -154,18 +201,6 @@ def to_enrich(rows: DataFrame, t: EntityType, state: DataFrame) -> DataFrame:
     return hashed.join(state.select(F.col("key").alias("_key"), F.col("hash").alias("_old")), F.col(f"`{t.key}`").cast("string") == F.col("_key"), "left").where(~F.col("_hash").eqNullSafe(F.col("_old"))).drop("_key", "_old")
 
 
-def template_summary(text: str, size: int = 200) -> str:
-    """A stand-in for a generator: the start of the text up to a sentence's end."""
-    head = text[:size]
-    return head[: head.rfind(".") + 1] or head
-
-
-
-def dead_counts(rows: DataFrame) -> DataFrame:
-    """(unreplayed, replayed)."""
-    return rows.agg(F.count_if(~F.col("replayed")).alias("unreplayed"), F.count_if("replayed").alias("replayed"))
-
-
 def keep_running(start: Callable[[], object], wait: float = 10.0, restarts: int | None = None) -> int:
     """Start a streaming query and wait for it; start it again, from its checkpoint, whenever it fails. Gives the restarts."""
     import time

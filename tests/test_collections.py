@@ -52,5 +52,56 @@ def test_seed_and_restart(spark):
                 raise RuntimeError
 
     assert P.keep_running(Query, wait=0) == 2
-    dead = spark.createDataFrame([(True,), (False,)], "replayed boolean")
-    assert tuple(P.dead_counts(dead).first()) == (1, 1)
+
+
+
+
+def test_versions_pages_and_alias(spark, tmp_path):
+    own = C.Collection(spark, str(tmp_path / "c"))
+    with pytest.raises(SchemaError):
+        own.read()
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(250)], "id int, v array<double>")
+    assert own.replace(points) == 0 and own.read().count() == 250
+    assert own.migrate(["v", "w"], 2) and own.current() == 1 and own.read().columns == ["id", "v", "w"] and not own.migrate(["w"], 2)
+    with pytest.raises(SchemaError):
+        own.migrate(["v"], 3)
+    own.clear()
+    assert own.read().count() == 250
+    seen, after = [], None
+    while rows := C.page(own.read(), "id", after).collect():
+        assert len(rows) <= 100
+        seen, after = seen + [r.id for r in rows], rows[-1].id
+    assert seen == list(range(250))
+
+
+def test_tenants():
+    from fathom.errors import Breaker, DeniedError, PreconditionError, QueryError, UnavailableError, status
+    from fathom.tenants import Tenants
+
+    t = EntityType("X", "Id", (Column("Id"),))
+    calls = []
+    own = Tenants(set_up=lambda tenant, kind: calls.append((tenant, kind.name)))
+    own.add("acme")
+    assert own.active("acme") and not own.active("other") and not own.active(None) and own.database("acme") == "entities_tenant_acme"
+    assert own.ensure("acme", t) and not own.ensure("acme", t) and calls == [("acme", "X")]
+    own.suspend("acme")
+    for act in (lambda: own.ensure("acme", t), lambda: own.delete("other"), lambda: own.add("a--b"), lambda: own.database("A")):
+        with pytest.raises(SchemaError):
+            act()
+    assert [status(e) for e in (QueryError(), DeniedError(), PreconditionError(), UnavailableError(), KeyError())] == ["invalid_argument", "permission_denied", "failed_precondition", "unavailable", "internal"]
+    now, down = [0.0], [True]
+
+    def call(x):
+        if down[0]:
+            raise OSError
+        return x
+
+    breaker = Breaker(call, 2, 10, lambda: now[0])
+    for _ in range(3):
+        with pytest.raises(UnavailableError):
+            breaker(1)
+    down[0] = False
+    with pytest.raises(UnavailableError):
+        breaker(1)
+    now[0] = 11
+    assert breaker(1) == 1 and breaker.failed == 0

@@ -7,7 +7,7 @@ import pytest
 from fathom import authz
 from fathom.dsl import Agg, Clause, JoinKind, Logic, Metric, Op, PipelineRequest, Step, StepJoin, aggregate, chunks, group_by, pipeline, query, similar
 from fathom.engine import Coordinator, Engine
-from fathom.errors import DeniedError, QueryError, SchemaError, UnavailableError
+from fathom.errors import DeniedError, PreconditionError, QueryError, SchemaError, UnavailableError
 from fathom.operators import similarity
 from fathom.schema import Chunking, Column, EntityType, Registry, Relation, check, drift, migrate
 
@@ -228,7 +228,7 @@ def test_schema_checks(spark):
 
 def test_disabled_stores(engine):
     engine.columnar = False
-    with pytest.raises(UnavailableError):
+    with pytest.raises(PreconditionError):
         engine.search(query("author").build())
     with pytest.raises(UnavailableError):
         engine.similar(similar("author", "Name").text("x").build())
@@ -252,3 +252,51 @@ def test_similar_and_passages(spark):
     assert {r.parent_id for r in own.chunks(chunks("note", "Body").text("red").where("Id", Op.EQUALS, "1").build()).collect()} == {"1"}
     with pytest.raises(QueryError):
         own.similar(similar("note", "Kind").text("x").build())
+
+
+def test_unknown_tenants_are_denied(secured):
+    from fathom.tenants import Tenants
+
+    secured.tenants = Tenants()
+    with pytest.raises(DeniedError):
+        secured.search(query("doc").build(), authz.Caller("u", "t"))
+    secured.tenants.add("t")
+    assert secured.search(query("doc").build(), authz.Caller("u", "t")).count() >= 0
+    secured.tenants.suspend("t")
+    with pytest.raises(DeniedError):
+        secured.get("doc", "1", authz.Caller("u", "t"))
+
+
+def test_writes_are_logged_and_published(spark, tmp_path):
+    from fathom.streaming.outbox import Log
+
+    sent, down = [], [True]
+
+    def produce(events):
+        if down[0]:
+            raise ConnectionError
+        sent.extend((e.op, e.key) for e in events.collect())
+
+    base = spark.createDataFrame([("1", "Hello", "a")], ARTICLE.spark_schema())
+    own = Engine(spark, log=Log(spark, str(tmp_path / "log")), produce=produce).register(ARTICLE, base)
+    key = own.persist("Article", {"title": "New", "AuthorId": "b"})
+    assert key[14] == "7" and own.get("Article", key).first().Title == "New"
+    own.persist("Article", {"Id": "1", "Title": "Changed"}, update=True)
+    assert own.get("Article", "1").first().AuthorId is None and tuple(own.log.counts().first()) == (2, 0, 0)
+    down[0] = False
+    assert own.delete("Article", "1") and not own.delete("Article", "1")
+    assert sent == [("created", key), ("updated", "1"), ("deleted", "1")] and tuple(own.log.counts().first()) == (0, 0, 3)
+    assert own.log.events().where("op = 'deleted'").first().payload == '{"Id":"1","Title":"Changed"}'
+    again = Engine(spark, log=Log(spark, str(tmp_path / "log"))).register(ARTICLE, base)
+    assert [r.Id for r in again.search(query("Article").build()).collect()] == [key]
+    assert again.get("nothing", "1").first() is None
+
+
+def test_many_writes_keep_one_plan(spark):
+    own = Engine(spark).register(ARTICLE, spark.createDataFrame([("1", "Hello", "a")], ARTICLE.spark_schema()))
+    size = lambda: len(own.search(query("Article").build())._jdf.queryExecution().optimizedPlan().toString())
+    own.persist("Article", {"Title": "0"})
+    first = size()
+    for k in range(6):
+        own.persist("Article", {"Title": str(k)})
+    assert size() < 1.2 * first and own.search(query("Article").build()).count() == 8
