@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
 
@@ -27,17 +27,12 @@ def _shared(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, str
     return scratch.keep(found.where("_n > 1"))
 
 
-def _match(rows: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
-    on = reduce(Column.__and__, [rows[k] == shared[f"_s_{k}"] for k in keys])
-    return rows.join(shared, on, "left").drop(*[f"_s_{k}" for k in keys])
-
-
 def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_block: int = FIRST_BLOCK, growth: int = GROWTH) -> DataFrame:
     """One row for each row of df: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256.
 
     Null text counts as empty text. Rows that repeat both id and text are one document seen several times: each
-    counts in group_size and all have the same `kept`. A null id stays only if its group has no other. An empty
-    table gives an empty result; other columns are ignored, so their names cannot clash.
+    counts in group_size and all have the same `kept`. A null id stays only if its group has no other. There are no
+    ties but such rows. An empty table gives an empty result; other columns are ignored, so their names cannot clash.
     """
     spark = df.sparkSession
     own = df.select(F.col(id_col).alias("_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_rest"))
@@ -54,25 +49,28 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         state = F.when(F.col("_n").isNull(), "alone").when(ended, "ended").otherwise("open")
         return rows.select("_id", "_sha", "_n", "_keep", F.coalesce("_next", F.lit(0)).cast("long").alias("_g"), F.when(state == "open", F.expr(f"substring(_rest, {block + 1})")).alias("_rest"), state.alias("_state"))
 
-    done, used = [], []
+    done = []
     rows = cut(own)
+    total = rows.count()
     shared, at = _shared(rows.withColumn("_r", F.monotonically_increasing_id()), ["_digit"], "_r")
-    used.append(at)
-    small = scratch.table_bytes(spark, at) <= BROADCAST_BYTES
-    shared = shared.withColumnRenamed("_digit", "_s__digit")
-    joined = _match(rows, F.broadcast(shared) if small else shared, ["_digit"])
+    if scratch.table_bytes(spark, at) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(shared), ["_digit"], "left")
+    else:
+        joined = scratch.join_split(rows, shared, ["_digit"], "_n", total, "_id", "left")
+    before = None
     while True:
-        table, at = scratch.keep(split(joined), "_state")
-        used.append(at)
+        table, place = scratch.keep(split(joined), "_state")
+        # what was carried on is read, and what it met is not needed any more
+        scratch.drop(spark, at, *([f"{before}/_state=open"] if before else []))
         done.append(table.where("_state <> 'open'").select("_id", "_sha", "_n", "_keep"))
         open_rows = table.where("_state = 'open'").select("_id", "_sha", "_g", "_rest")
-        if open_rows.isEmpty():
+        total, before = open_rows.count(), place
+        if not total:
             break
         block = min(block * grow, LARGEST_BLOCK)
-        rows = cut(open_rows.withColumn("_r", F.monotonically_increasing_id()))
-        shared, at = _shared(rows, ["_g", "_digit"], "_r")
-        shared = shared.withColumnRenamed("_g", "_s__g").withColumnRenamed("_digit", "_s__digit")
-        joined = _match(rows.drop("_r"), shared, ["_g", "_digit"])
+        rows = cut(open_rows)
+        shared, at = _shared(rows.withColumn("_r", F.monotonically_increasing_id()), ["_g", "_digit"], "_r")
+        joined = scratch.join_split(rows, shared, ["_g", "_digit"], "_n", total, "_id", "left")
     out = reduce(DataFrame.unionAll, done)
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).cast(id_type)
     return out.select(
@@ -82,8 +80,14 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns; rows that repeat an id and text stay together."""
-    key, sha = scratch.fresh(df, "_gone"), scratch.fresh(df, "_gone_sha")
-    gone = dedup_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).distinct()
-    own = F.sha2(F.encode(F.coalesce(df[text_col], F.lit("")), "UTF-8"), 256)
-    return df.join(gone, df[id_col].eqNullSafe(F.col(key)) & (own == F.col(sha)), "left_anti")
+    """The rows of df that stay, with all their columns; rows that repeat an id and text stay together. Empty for an empty table.
+
+    df is written once with numbers of its rows, which say which of them go.
+    """
+    key = scratch.fresh(df, "_row")
+    rows, _ = scratch.keep(df.withColumn(key, F.monotonically_increasing_id()))
+    wide = F.struct(rows[id_col].alias("id"), rows[key].alias("row"))
+    found = dedup_groups(rows.select(wide.alias("_wide"), rows[text_col].alias("_text")), "_wide", "_text")
+    # the largest (id, row) of a group stays, and with it all rows of its id
+    gone = found.where(~F.col("doc_id.id").eqNullSafe(F.col("keep_id.id"))).select(F.col("doc_id.row").alias(key))
+    return rows.join(gone, key, "left_anti").drop(key)
