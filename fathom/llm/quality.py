@@ -24,7 +24,7 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 8, (2, 3, 4, 5)
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32_000
 #: Passes over the sample, step sizes of the output layer and the vectors, seed.
 EPOCHS, STEP, VECTOR_STEP, SEED = 6, 0.5, 400.0, 7
-#: Texts are scored in pieces of at most so many bytes, counted as one.
+#: Bytes of a text whose n-grams are read at once.
 PIECE = 1 << 20
 #: Bucket of a word that repeats the one before it, and how often it counts beside a word's n-grams.
 REPEATED, REPEAT_WEIGHT = 0, 8
@@ -37,38 +37,30 @@ _CLEAN = np.arange(256, dtype=np.uint64)
 _CLEAN[_SPACE] = 0x20
 
 
-def pieces(text: bytes) -> Iterator[bytes]:
-    """The text in pieces of at most PIECE bytes, cut at a space or line end where the piece has one."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = max(text.rfind(b" ", at + 1, at + PIECE), text.rfind(b"\n", at + 1, at + PIECE))
-        cut = cut if cut > 0 else at + PIECE
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
-def features(text: bytes) -> Iterator[np.ndarray]:
-    """Buckets of all words, n-grams and repetitions, piece by piece."""
-    for piece in pieces(text):
-        raw = np.frombuffer(b" " + piece + b" ", np.uint8)
+def features(text: bytes, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """Buckets of all words, n-grams and repetitions; the same ones whatever the pieces that n-grams are read in."""
+    whole = b" " + text + b" "
+    longest = max(NGRAMS)
+    for at in range(0, len(whole), piece):
+        # a piece's n-grams begin in it and may end after it
+        raw = np.frombuffer(whole, np.uint8, min(piece + longest - 1, len(whole) - at), at)
         data, space = _CLEAN[raw], _SPACE[raw]
         h = np.zeros(len(data), np.uint64)
         inner = np.zeros(len(data) + 1, np.int32)
         np.cumsum(space, out=inner[1:])
         with np.errstate(over="ignore"):
-            for n in range(1, max(NGRAMS) + 1):
+            for n in range(1, longest + 1):
                 if len(data) < n:
                     break
                 h = h[: len(data) - n + 1] * np.uint64(0x100000001B3) + data[n - 1 :] + np.uint64(1)
                 if n in NGRAMS:
                     # no white space inside; a border may be white space, but not all of it
                     kept = inner[n - 1 : n - 1 + len(h)] == inner[1 : 1 + len(h)] if n > 2 else ~(space[:-1] & space[1:])
-                    yield _bucket(h[kept])
-            words = word_hashes(piece)
-            yield _bucket(words)
-            # the bigram of a word and itself is one feature, whatever the word
-            yield np.full(REPEAT_WEIGHT * int((words[1:] == words[:-1]).sum()), REPEATED)
+                    yield _bucket(h[:piece][kept[:piece]])
+    words = word_hashes(text)
+    yield _bucket(words)
+    # the bigram of a word and itself is one feature, whatever the word
+    yield np.full(REPEAT_WEIGHT * int((words[1:] == words[:-1]).sum()), REPEATED)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -143,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes:
 def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted (1 if score >= cut). Whole texts are read.
 
-    Null and empty texts get the model's prior. Only doc_id and text are read, so other columns cannot clash.
+    Null and empty texts get the model's prior; an empty table gives an empty result. Equal texts have equal scores,
+    rows that repeat an id or a text are scored each, in no order. Only doc_id and text are read, so other columns cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("_text"))
@@ -159,7 +152,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least cut, with all their columns in order."""
+    """The rows of docs that score at least cut, with all their columns; repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
