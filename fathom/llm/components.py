@@ -8,7 +8,12 @@ from . import scratch
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, root): for each node of edges (a, b) the smallest node that it reaches. Null ends are ignored.
+    """(node, root): for each node of edges (a, b) the smallest node that it reaches. Null ends are ignored."""
+    return components_table(edges, max_rounds)[0]
+
+
+def components_table(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, str]:
+    """components() and the scratch table that it is read from.
 
     Each round links every node's larger neighbours to its smallest one, then its smaller ones, until all edges point
     at roots. A node's neighbours are only aggregated, never gathered, so a large component or hub stays distributed.
@@ -34,4 +39,4 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         before = sums
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")), at

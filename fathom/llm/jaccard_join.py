@@ -22,10 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, types as T, Window
 
 from . import scratch
-from .components import components
+from .components import components_table
 from .shingles import mix, shingle_set
 
 #: Ratio of neighbouring band borders. A text emits about 0.37 parts a shingle at t = 0.85.
@@ -34,6 +34,10 @@ BAND_RATIO = 1.5
 PAIRS_UP_TO, BLOCK, HUB_ROWS = 6, 256, 128
 #: Nearest possible partners that are verified first; each further round takes eight times as many.
 FIRST_RANKS = 8
+#: Rows whose features leave a worker together, and part keys after which fewer do.
+FEATURE_ROWS, FEATURE_KEYS = 256, 1 << 20
+#: Part of the texts whose part keys are looked at for hot ones, and how many of the sample's at least must have one.
+HOT_SAMPLE, HOT_LEAST = 1 / 64, 8
 #: Bits of the folded sketch that screens candidates.
 FOLD_BITS = 1024
 #: Classes other than the least are broadcast up to so many bytes on disk.
@@ -118,20 +122,24 @@ def _features(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, s1, s2, folds, keys = [], [], [], [], []
-                for text in part.column(1).cast(pa.binary()):
-                    own = shingle_set(text.as_py(), width)
-                    n.append(len(own))
-                    with np.errstate(over="ignore"):
-                        s1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-                        s2.append(int(mix(own + np.uint64(7)).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-                    folds.append(folded(own))
-                    keys.append(part_keys(own, percent).view(np.int64))
-                ends = np.cumsum([0, *map(len, keys)])
-                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(folds, pa.binary()), flat], schema=schema)
+            begin, held = 0, 0
+            n, s1, s2, folds, keys = [], [], [], [], []
+            for row, text in enumerate(batch.column(1).cast(pa.binary())):
+                own = shingle_set(text.as_py(), width)
+                n.append(len(own))
+                with np.errstate(over="ignore"):
+                    s1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
+                    s2.append(int(mix(own + np.uint64(7)).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
+                folds.append(folded(own))
+                keys.append(part_keys(own, percent).view(np.int64))
+                held += len(keys[-1])
+                # what has come together leaves the worker: after some rows, or fewer with many parts
+                if row + 1 == batch.num_rows or row + 1 - begin == FEATURE_ROWS or held >= FEATURE_KEYS:
+                    flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+                    numbers = [pa.array(x, pa.int64()) for x in (n, s1, s2)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, row + 1 - begin), *numbers, pa.array(folds, pa.binary()), flat], schema=schema)
+                    begin, held = row + 1, 0
+                    n, s1, s2, folds, keys = [], [], [], [], []
 
     return run
 
@@ -230,33 +238,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return dealt.mapInArrow(_against_hub(width, percent), "a long, b long")
 
 
-def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """classes (id, n, rep): each row's set size and the least id with the same set; edges (a, b) of classes that link.
+def _shared_keys(keyed: DataFrame) -> DataFrame:
+    """(id, key, size): the rows (id, key) of keys that several have, and how many.
+
+    A key's rows are counted in one window, but for the keys that a sample of the ids shows to be the hottest, at most
+    HOT_PART of them: these are counted by partial sums. Which way a key goes changes no count.
+    """
+    sample = keyed.where(F.pmod(F.xxhash64("id"), F.lit(round(1 / HOT_SAMPLE))) == 0).groupBy("key").count()
+    found = sample.where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count")).limit(scratch.HOT_PART)
+    hot = [r.key for r in found.select("key").collect()]
+    cold = keyed.where(~F.col("key").isin(hot)) if hot else keyed
+    counted = cold.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    if not hot:
+        return counted
+    # at most HOT_PART keys
+    own = keyed.where(F.col("key").isin(hot))
+    sizes = own.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return counted.unionByName(own.join(F.broadcast(sizes), "key"))
+
+
+def _by_size(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """Rows (key, size, ..) joined to a written table (key, size, ..) with one row a key; hot keys by broadcast, as there are at most HOT_PART."""
+    large = F.col("size") * scratch.HOT_PART > total
+    hot, cold = table.where(large).drop("size"), table.where(~large).drop("size")
+    return rows.where(large).join(F.broadcast(hot), "key").unionByName(rows.where(~large).join(cold, "key"))
+
+
+def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """classes (id, n, rep): each row's set size and the least id with the same set; edges (a, b) of classes that link; the scratch tables that both are read from.
 
     The edges connect all that links connect; between members of one component not every link need be listed.
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent must be from 50 to 99")
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"'{id_col}' must be a column of integers")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    features, _ = scratch.keep(docs.mapInArrow(_features(width, percent), "id long, n long, s1 long, s2 long, fold binary, keys array<long>"))
+    features, features_at = scratch.keep(docs.mapInArrow(_features(width, percent), "id long, n long, s1 long, s2 long, fold binary, keys array<long>"))
     full = features.where("n > 0 AND id IS NOT NULL")
-    sets = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    classes, classes_at = scratch.keep(full.select("id", "n", "s1", "s2").join(sets, ["s1", "s2", "n"]).select("id", "n", "rep"))
+    # sets that several rows have
+    sets, sets_at = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"))
+    own = full.select("id", "n", "s1", "s2")
+    if scratch.table_bytes(spark, sets_at) <= BROADCAST_BYTES:
+        grouped = own.join(F.broadcast(sets), ["s1", "s2", "n"], "left")
+    else:
+        grouped = scratch.join_split(own, sets, ["s1", "s2", "n"], "rows", full.count(), "id", "left")
+    classes, classes_at = scratch.keep(grouped.select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    scratch.drop(spark, sets_at)
     gone, gone_at = scratch.keep(classes.where("id <> rep").select("id").distinct())
     hint = F.broadcast if scratch.table_bytes(spark, gone_at) <= BROADCAST_BYTES else (lambda x: x)
     reps = full.join(hint(gone), "id", "left_anti")
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    shared, shared_at = scratch.keep(keyed.withColumn("size", F.count("*").over(by_key)).where("size > 1"))
+    shared, shared_at = scratch.keep(_shared_keys(reps.select("id", F.explode("keys").alias("key"))))
 
     small = shared.where(f"size <= {PAIRS_UP_TO}")
     one, other = small.select("key", F.col("id").alias("a")), small.select("key", F.col("id").alias("b"))
     few = one.join(other, "key").where("a < b").select("a", "b")
     large = shared.where(f"size > {PAIRS_UP_TO}")
     weight = large.groupBy("id").agg(F.count("*").alias("weight"))
-    heads, heads_at = scratch.keep(large.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub")))
-    stars = large.join(heads, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    total = large.count()
+    heads, heads_at = scratch.keep(large.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"), F.max("size").alias("size")))
+    stars = _by_size(large, heads, total).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     screen = features.select("id", "n", "fold").where("n > 0").dropDuplicates(["id"])
     pairs = few.unionAll(stars).distinct()
     for end in ("a", "b"):
@@ -269,12 +311,13 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
 
     # parts whose members are not of one component yet go on in blocks, nearest partners first
     sizes, sizes_at = scratch.keep(large.join(screen, "id"))
-    low, high, spent = 0, FIRST_RANKS, []
+    low, high, spent, kept_at = 0, FIRST_RANKS, [], [features_at, classes_at, edges_at]
     while True:
-        roots = components(edges)
+        roots, roots_at = components_table(edges)
         labelled = sizes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
-        mixed = labelled.groupBy("key").agg(F.max("size").alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
-        rest = labelled.join(mixed.select("key", "members"), "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        mixed = labelled.groupBy("key").agg(F.max("size").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
+        mixed, mixed_at = scratch.keep(mixed.select("key", "size"))
+        rest = _by_size(labelled, mixed, total).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rest = rest.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
         dealt = dealt.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") > F.col("o"), 1).otherwise(0).alias("side"), "id", "label", "n", "fold")
@@ -282,13 +325,14 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
         found, found_at = scratch.keep(dealt.mapInArrow(_blocks(percent, low, high), "a long, b long"))
         new, new_at = scratch.keep(_verified(found.where("b IS NOT NULL").distinct(), held, width, percent))
         edges = edges.unionAll(new)
-        spent += [found_at]
+        spent += [found_at, mixed_at, roots_at]
+        kept_at.append(new_at)
         if found.where("b IS NULL").isEmpty():
             break
         low, high = high, high * 8
     scratch.drop(spark, sizes_at, *spent)
     scratch.drop(spark, shared_at, heads_at, pairs_at, needed_at, held_at, gone_at)
-    return features.select("id", "n").join(classes.select("id", "rep").distinct(), "id", "left"), edges
+    return features.select("id", "n").join(classes.select("id", "rep").distinct(), "id", "left"), edges, kept_at
 
 
 def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,16 +341,20 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
     Words are runs without ASCII white space, A-Z in lower case; a text shorter than `width` words is one shingle. A
     text without words (null, empty) has an empty set and links with nothing. Links need
     100 * intersection >= percent * union. Rows that repeat an id are the same node and should repeat its text; ids
-    must be integers, a null id stays alone (component_id null). Other columns are ignored.
+    must be integers (others are an error), a null id stays alone (component_id null). An empty table gives an empty
+    result. Other columns are ignored, so their names cannot clash.
     """
-    classes, edges = links_and_classes(df, width, percent, id_col, text_col)
-    roots = components(edges)
+    spark = df.sparkSession
+    classes, edges, used = links_and_classes(df, width, percent, id_col, text_col)
+    roots, roots_at = components_table(edges)
     placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
+    out, _ = scratch.keep(placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id")))
+    scratch.drop(spark, *used, roots_at)
+    return out
 
 
 def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the least of its component, with all their columns; rows without id or words stay."""
+    """The rows of df whose id is the least of its component, with all their columns; rows without id or words stay, rows that repeat a kept id too."""
     key = scratch.fresh(df, "_gone")
     gone = jaccard_components(df, width, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
     return df.join(gone, df[id_col] == F.col(key), "left_anti")

@@ -140,3 +140,25 @@ def test_pipeline(spark, tmp_path):
             assert leaks and after.keys() == before.keys() - leaks
     back = {r.doc_id: r.text for r in pieces.decode(docs, tokenizer_path(P.PIECE_MODEL)).collect()}
     assert back == before and P.run(spark, sf).count() == len(back)
+
+
+def test_hot_keys_and_split_joins_change_nothing(spark, monkeypatch):
+    from fathom.llm import scratch
+
+    monkeypatch.setattr(J, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(J, "HOT_LEAST", 4)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(J, "FEATURE_KEYS", 50)
+    rows = near_copies(9, 4, 40)
+    rows += [(1000 + i, rows[0][1]) for i in range(60)]
+    got = sorted(tuple(r) for r in J.jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85).collect())
+    assert got == brute(rows, 4, 85)
+    left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(120)], "k int, v int")
+    table, _ = scratch.keep(left.groupBy("k").count())
+    joined = scratch.join_split(left, table, ["k"], "count", 120, "v", "left")
+    assert joined.columns == ["k", "v", "count"] and sorted(map(tuple, joined.collect())) == sorted((k, v, 30 if v < 90 else 1) for k, v in map(tuple, left.collect()))
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(ValueError):
+        J.jaccard_components(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
