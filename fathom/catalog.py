@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import authz
-from .dsl import Agg, JoinKind, Op, aggregate, group_by, pipeline, query
+from .dsl import Agg, JoinKind, Op, aggregate, chunks, group_by, pipeline, query, similar
 from .engine import Engine
 from .functions import vectors as V
-from .operators import ingest, similarity
-from .operators.writes import latest
+from .operators import collections, ingest, retrieval, similarity
+from .operators.writes import delete, latest, update_columns, update_vectors, upsert
 from .schema import Chunking, Column, EntityType, Registry, Relation
-from .sources.tables import KEYS, parquet
-from .streaming import projection
+from .sources import tables
+from .sources.tables import KEYS, REPEATED, parquet
+from .streaming import letters, outbox, projection
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +27,7 @@ def engine(spark: SparkSession, sf_dir: str, *names: str, rules=None, **types: d
     own = Engine(spark, Registry(), rules=rules)
     for n in names:
         df = parquet(spark, sf_dir, n)
-        own.register(EntityType.of_frame(n, KEYS[n], df, **types.get(n, {})), df)
+        own.register(EntityType.of_frame(n, KEYS[n], df, unique=n not in REPEATED, **types.get(n, {})), df)
     return own
 
 
@@ -212,6 +214,43 @@ def get_by_key(spark, d):
     return engine(spark, d, "orders").get("orders", 7)
 
 
+@add("get_by_foreign_key", f"SELECT {ORDER} FROM orders WHERE o_custkey = 5")
+def get_by_foreign_key(spark, d):
+    return retrieval.by_foreign_key(engine(spark, d, "orders").context(), "orders", "o_custkey", 5)
+
+
+@add("get_many_repeated", "SELECT CAST(p AS INTEGER) AS position, k AS requested_key, n > 0 AS found FROM (VALUES (0, '1'), (1, '-1'), (2, '3')) t(p, k) LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = CAST(k AS BIGINT)")
+def get_many_repeated(spark, d):
+    return engine(spark, d, "lineitem").get_many("lineitem", ["1", "-1", "3"]).select("position", "requested_key", F.when(F.col("requested_key") != "-1", F.col("found")).alias("found"))
+
+
+@add("get_json", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation WHERE n_nationkey = 7")
+def get_json(spark, d):
+    found = retrieval.get_json(engine(spark, d, "nation").context(), "nation", 7)
+    return found.select(F.col("key").cast("string").alias("key"), F.get_json_object("json", "$.n_name").alias("name"))
+
+
+@add("raw_sql", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY 1")
+def raw_sql(spark, d):
+    parquet(spark, d, "nation").createOrReplaceTempView("raw_sql_nation")
+    return tables.sql(spark, "SELECT n_regionkey, count(*) AS n FROM raw_sql_nation WHERE n_nationkey > :least GROUP BY 1", least=3)
+
+
+@add("write_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -c_custkey, 'new', NULL FROM customer WHERE c_custkey % 5 = 0 AND c_custkey > 0")
+def write_upsert(spark, d):
+    stored = parquet(spark, d, "customer")
+    changed = stored.where("c_custkey % 5 = 0")
+    new = changed.select("c_custkey").unionAll(changed.where("c_custkey > 0").select(-F.col("c_custkey"))).withColumn("C_NAME", F.lit("new"))
+    return upsert(stored, new, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+
+
+@add("write_update_columns", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def write_update_columns(spark, d):
+    stored = parquet(spark, d, "customer")
+    new = stored.where("c_custkey % 5 = 0").select("c_custkey", F.lit(0.0).alias("c_acctbal")).unionAll(spark.createDataFrame([(-1, 0.0)], "k long, v double"))
+    return update_columns(stored, new, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+
+
 def _related(spark, d):
     own = Engine(spark)
     customer, orders, nation = (parquet(spark, d, n) for n in ("customer", "orders", "nation"))
@@ -277,12 +316,102 @@ def vec_fused(spark, d):
     return rows.select("vec_id", F.round(V.fuse(base, None, V.decay(when, now)), 9).alias("score"))
 
 
-@add("vec_mmr")
+def _diversified(candidates: str, k: int) -> str:
+    """SQL for the (i, vec_id, score) that maximal marginal relevance picks of candidates (i, vec_id, score, v), i in the order of their scores."""
+    return f"""
+        RECURSIVE cand AS ({candidates}), sims AS (SELECT a.i AS i, b.i AS j, list_cosine_similarity(a.v, b.v) AS s FROM cand a, cand b),
+        picks AS (
+            SELECT 1 AS step, [1::BIGINT] AS chosen
+            UNION ALL
+            SELECT p.step + 1, list_append(p.chosen, (SELECT arg_min(m.i, struct_pack(a := -m.mark, b := m.i)) FROM (
+                SELECT c.i, 0.7 * c.score - 0.3 * max(s.s) AS mark FROM cand c JOIN sims s ON s.i = c.i WHERE list_contains(p.chosen, s.j) AND NOT list_contains(p.chosen, c.i) GROUP BY c.i, c.score
+            ) m)) FROM picks p WHERE p.step < {k}
+        )
+        SELECT vec_id, round(score, 9) AS score FROM cand JOIN (SELECT unnest(chosen) AS i FROM picks WHERE step = {k}) USING (i)
+    """
+
+
+@add("vec_mmr", "WITH " + _diversified(f"SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS i, vec_id, score, v FROM (SELECT vec_id, {COSINE} AS score, CAST(embedding AS DOUBLE[]) AS v FROM embeddings, {QUERY} ORDER BY 2 DESC, 1 LIMIT 40)", 10))
 def vec_mmr(spark, d):
     hits = similarity.top_k(parquet(spark, d, "embeddings"), "embedding", _probe(spark, d), 40, "vec_id")
     return similarity.rank(hits, "vec_id", None, _probe(spark, d), None, None, "embedding", 10).select("vec_id", F.round("score", 9).alias("score"))
 
 
+# entities with a name's vector, a body whose passages' mean is the name's vector turned around, and a time in days by label
+_POINT = EntityType("point", "vec_id", (Column("vec_id", "int64"), Column("label", "int32", metadata=True), Column("at", "datetime", metadata=True), Column("name", embedding=True), Column("body", chunk=Chunking())))
+_NOW = "2026-01-01"
+
+
+def _points(spark, d, t: EntityType, centroid: bool = True) -> Engine:
+    rows = parquet(spark, d, "embeddings")
+    when = F.timestamp_seconds(F.lit(_NOW).cast("timestamp").cast("long") - F.col("label") * 30 * 86400)
+    points = rows.select("vec_id", "label", when.alias("at"), F.col("embedding").alias("name_vector"), *([F.reverse("embedding").alias("body_centroid")] if centroid else []))
+    probe = _probe(spark, d)
+    own = Engine(spark, vectors=similarity.VectorStore({"point": points}, {}, lambda text: probe))
+    return own.register(t, points.select("vec_id", "label", "at", F.lit("n").alias("name"), F.lit("b").alias("body")))
+
+
+def _now():
+    import datetime
+
+    return datetime.datetime.fromisoformat(_NOW).replace(tzinfo=datetime.timezone.utc)
+
+
+FUSED = f"SELECT vec_id, (0.6 * {COSINE} + 0.3 * list_cosine_similarity(list_reverse(CAST(embedding AS DOUBLE[])), q) + 0.1 * least(1.0, pow(0.5, label * 30 / 180.0))) AS score, list_reverse(CAST(embedding AS DOUBLE[])) AS v FROM embeddings, {QUERY}"
+
+
+@add("similar_reranked", "WITH " + _diversified(f"SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS i, vec_id, score, v FROM ({FUSED} WHERE vec_id IN (SELECT vec_id FROM embeddings, {QUERY} ORDER BY {COSINE} DESC, vec_id LIMIT 20))", 5))
+def similar_reranked(spark, d):
+    found = _points(spark, d, _POINT).similar(similar("point", "name").text("probe").top_k(5).build(), now=_now())
+    return found.select("vec_id", F.round("score", 9).alias("score"))
+
+
+@add("similar_filtered", f"SELECT vec_id, label, round({COSINE}, 9) AS score FROM embeddings, {QUERY} WHERE label = 3 OR NOT (label <= 5) ORDER BY {COSINE} DESC, vec_id LIMIT 10")
+def similar_filtered(spark, d):
+    from .dsl import Logic
+
+    plain = EntityType("point", "vec_id", (Column("vec_id", "int64"), Column("label", "int32", metadata=True), Column("name", embedding=True)))
+    request = similar("point", "name").text("probe").top_k(10).where("label", Op.EQUALS, 3.2).not_("label", Op.LESS_THAN_OR_EQUALS, 5).with_logic(Logic.OR).build()
+    return _points(spark, d, plain, False).similar(request).select("vec_id", "label", F.round("score", 9).alias("score"))
+
+
+@add("vec_batch_topk", f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 3")
+def vec_batch_topk(spark, d):
+    rows = parquet(spark, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return similarity.search_batch(asked, rows, "embedding", 3, "vec_id").select("query_id", "vec_id", "rank")
+
+
+@add("vec_by_ids", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id IN (3, 5, 8)")
+def vec_by_ids(spark, d):
+    ids = spark.createDataFrame([(3,), (5,), (5,), (8,), (-1,)], "vec_id long")
+    return collections.by_ids(parquet(spark, d, "embeddings"), ids, "vec_id", "embedding").select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+def _named(spark, d):
+    return parquet(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("a"), F.array(F.col("label").cast("double")).alias("b"))
+
+
+@add("vec_upsert", "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 1.0 ELSE CAST(label AS DOUBLE) END AS b, vec_id % 7 <> 0 AS has_a FROM embeddings")
+def vec_upsert(spark, d):
+    points = _named(spark, d)
+    new = points.where("vec_id % 7 = 0").select("vec_id", F.array(F.lit(1.0)).alias("b"))
+    return upsert(points, new, "vec_id").select("vec_id", F.element_at("b", 1).alias("b"), F.col("a").isNotNull().alias("has_a"))
+
+
+@add("vec_update_named", "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 1.0 ELSE CAST(label AS DOUBLE) END AS b, true AS has_a FROM embeddings")
+def vec_update_named(spark, d):
+    points = _named(spark, d)
+    new = points.where("vec_id % 7 = 0").select("vec_id", F.array(F.lit(1.0)).alias("b"))
+    return update_vectors(points, new, "vec_id").select("vec_id", F.element_at("b", 1).alias("b"), F.col("a").isNotNull().alias("has_a"))
+
+
+@add("vec_delete", "SELECT vec_id FROM embeddings WHERE NOT (label = 2) AND vec_id <> 4")
+def vec_delete(spark, d):
+    points = collections.delete_where(parquet(spark, d, "embeddings"), F.col("label") == 2)
+    return delete(points, spark.createDataFrame([(4,)], "vec_id long"), "vec_id").select("vec_id")
+
+
 _DOC = EntityType("documents", "doc_id", (Column("doc_id", "int64"), Column("text", chunk=Chunking(128, 16)), Column("lang", metadata=True)))
 
 
@@ -305,10 +434,48 @@ def chunk_counts(spark, d):
     return _passages(spark, d).groupBy("parent_id").agg(F.count("*").alias("n"))
 
 
-@add("chunk_centroid")
+VOWELS = "aeiou"
+
+
+def _vowels(text: str) -> list[float]:
+    """A model that SQL knows as well: how often each vowel is in a text."""
+    return [float(text.count(v)) for v in VOWELS]
+
+
+CHUNKS = f"SELECT doc_id, start, regexp_replace(substr(text, start + 1, coalesce(space, stop) - start), '^\\s+|\\s+$', '', 'g') AS t FROM ({BACK})"
+COUNTED = f"SELECT doc_id, start, t, [{', '.join(f"CAST(length(t) - length(replace(t, '{v}', '')) AS DOUBLE)" for v in VOWELS)}] AS v FROM ({CHUNKS})"
+
+
+@add("chunk_centroid", f"SELECT CAST(doc_id AS VARCHAR) AS parent_id, \"at\", round(avg(v[\"at\" + 1] / sqrt(list_dot_product(v, v))), 9) AS mean FROM ({COUNTED}), range({len(VOWELS)}) r(\"at\") WHERE list_dot_product(v, v) > 0 GROUP BY 1, 2")
 def chunk_centroid(spark, d):
-    own = V.centroids(_passages(spark, d, similarity.HashingEmbedder()), ["parent_id"], "text_vector")
-    return own.select("parent_id", F.transform("centroid", lambda x: F.round(x, 9)).alias("centroid"))
+    own = V.centroids(_passages(spark, d, _vowels), ["parent_id"], "text_vector")
+    return own.select("parent_id", F.posexplode("centroid").alias("at", "mean")).select("parent_id", F.col("at").cast("long").alias("at"), F.round("mean", 9).alias("mean"))
+
+
+@add("chunk_search", f"SELECT round(max(list_cosine_similarity(v, [3.0, 1.0, 2.0, 1.0, 0.0])), 9) AS score FROM ({COUNTED}) WHERE list_dot_product(v, v) > 0 AND start IS NOT NULL")
+def chunk_search(spark, d):
+    docs = parquet(spark, d, "documents").select("doc_id", "text", "lang")
+    own = Engine(spark, vectors=similarity.VectorStore({}, {"documents": _passages(spark, d, _vowels)}, _vowels)).register(_DOC, docs)
+    return own.chunks(chunks("documents", "text").text("aaaeiio").top_k(1).build()).select(F.round("score", 9).alias("score"))
+
+
+@add("chunk_best_passage", f"SELECT CAST(doc_id AS VARCHAR) AS parent_id, round(max(list_cosine_similarity(v, [3.0, 1.0, 2.0, 1.0, 0.0])), 9) AS score FROM ({COUNTED}) WHERE list_dot_product(v, v) > 0 GROUP BY 1")
+def chunk_best_passage(spark, d):
+    scored = _passages(spark, d, _vowels).withColumn("score", V.cosine(F.col("text_vector"), V.literal_vector(_vowels("aaaeiio")))).where("score IS NOT NULL")
+    return similarity.best_passage(scored).select("parent_id", F.round("score", 9).alias("score"))
+
+
+def _fnv(text: str) -> str:
+    return f"list_reduce(list_prepend({V.FNV_OFFSET}::HUGEINT, list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, CAST(i AS INTEGER), 1))::HUGEINT)), lambda h, b: (xor(h, b) * {V.FNV_PRIME}::HUGEINT) % {1 << 64}::HUGEINT)"
+
+
+def _wrapped(number: str) -> str:
+    return f"CAST(CASE WHEN {number} >= {1 << 63}::HUGEINT THEN {number} - {1 << 64}::HUGEINT ELSE {number} END AS BIGINT)"
+
+
+@add("chunk_ids", f"SELECT doc_id, chunk_index, {_wrapped('xor(parent, (((field * 1000003 + chunk_index) % 18446744073709551616::HUGEINT) * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT)')} AS chunk_id FROM (SELECT doc_id, CAST(start // 448 AS INTEGER) AS chunk_index, {_fnv('CAST(doc_id AS VARCHAR)')} AS parent, {_fnv(chr(39) + 'text' + chr(39))} AS field FROM ({STARTS}))")
+def chunk_ids(spark, d):
+    return _passages(spark, d).select(F.col("parent_id").cast("long").alias("doc_id"), "chunk_index", "chunk_id")
 
 
 @add("doc_decay", "SELECT o_orderkey, round(least(1.0, pow(0.5, date_diff('second', o_orderdate, TIMESTAMP '2001-08-02') / 86400.0 / 180)), 9) AS decay FROM orders")
@@ -377,6 +544,72 @@ def stream_last_write_wins(spark, d):
     return projection.merge(empty, _changelog(spark, d), _USER)
 
 
+@add("stream_out_of_order", f"SELECT user_id, event_type, value FROM ({LAST}) WHERE rn = 1 AND event_type <> 'error'")
+def stream_out_of_order(spark, d):
+    """Batches that come last first, one of them twice."""
+    events = _changelog(spark, d)
+    batches = [projection.delta(events.where(F.col("offset") % 3 == k), _USER) for k in (2, 0, 1, 2)]
+    return projection.living(reduce(DataFrame.unionByName, batches), _USER)
+
+
+_OWNED = EntityType("usr", "user_id", (Column("user_id", "int64"), Column("event_type"), Column("value", "double"), Column("tenant")), tenant_field="tenant")
+
+
+@add("stream_rederived", f"SELECT user_id, value, 't' || CAST(user_id % 3 AS VARCHAR) AS tenant FROM ({LAST}) WHERE rn = 1 AND event_type <> 'error' AND user_id % 5 <> 0")
+def stream_rederived(spark, d):
+    """Tenants of the stored records, not those that payloads claim; users without a record are passed over."""
+    users = parquet(spark, d, "events").where("user_id % 5 <> 0").select("user_id", F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant")).distinct()
+    forged = _changelog(spark, d).withColumn("payload", F.replace("payload", F.lit("}"), F.lit(',"tenant":"forged"}')))
+    empty = spark.createDataFrame([], "user_id long, event_type string, value double, tenant string")
+    return projection.merge(empty, forged, _OWNED, records=users).select("user_id", "value", "tenant")
+
+
+def _tries(spark, d):
+    """(entries, marks): an outbox of every event, with as many failed tries as its number says and a success for each fourth."""
+    entries = _changelog(spark, d)
+    tries = parquet(spark, d, "events").select(F.col("event_id").alias("offset"))
+    failed = tries.where("offset % 13 > 0").select("offset", F.explode(F.sequence(F.lit(1), (F.col("offset") % 13).cast("int"))), F.lit(False).alias("ok"))
+    return entries, failed.select("offset", "ok").unionAll(tries.where("offset % 4 = 0").select("offset", F.lit(True).alias("ok")))
+
+
+TRIED = "SELECT event_id, event_id % 13 + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS attempts, event_id % 4 = 0 AS published FROM events"
+
+
+@add("outbox_counts", f"SELECT count(*) FILTER (NOT published AND attempts < 10) AS pending, count(*) FILTER (NOT published AND attempts >= 10) AS exhausted, count(*) FILTER (published) AS published FROM ({TRIED})")
+def outbox_counts(spark, d):
+    return outbox.counts(*_tries(spark, d))
+
+
+@add("outbox_pending", f'SELECT event_id AS "offset", attempts FROM ({TRIED}) WHERE NOT published AND attempts < 10 ORDER BY event_id LIMIT 100')
+def outbox_pending(spark, d):
+    return outbox.pending(*_tries(spark, d)).select("offset", "attempts")
+
+
+def _letters(spark, d):
+    _, bad = projection.split_events(_changelog(spark, d), _USER)
+    rows = bad.withColumn("id", F.concat_ws(":", "type", "key", "offset"))
+    return rows, rows.where("offset % 2 = 0").select("id")
+
+
+@add("dlq_replay_counts", "SELECT count(*) FILTER (event_id % 2 = 1) AS unreplayed, count(*) FILTER (event_id % 2 = 0) AS replayed FROM events WHERE event_id % 97 = 0 AND event_type <> 'error'")
+def dlq_replay_counts(spark, d):
+    return letters.counts(*_letters(spark, d))
+
+
+@add("dlq_unreplayed", "SELECT event_id AS \"offset\" FROM events WHERE event_id % 97 = 0 AND event_type <> 'error' AND event_id % 2 = 1")
+def dlq_unreplayed(spark, d):
+    return letters.unreplayed(*_letters(spark, d)).select("offset")
+
+
+@add("topic_round_trip", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 97 <> 0 OR event_type = 'error') WHERE rn = 1 AND event_type <> 'error'")
+def topic_round_trip(spark, d):
+    """Events as messages of a topic and back; the broker's offset orders them."""
+    events = _changelog(spark, d)
+    sent = tables.encode_events(events.withColumn("key", F.concat_ws("|", "key", "offset")), "00-trace-01")
+    came = sent.select(F.split("key", "[|]")[0].cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.split("key", "[|]")[1].cast("long").alias("offset"), F.current_timestamp().alias("timestamp"))
+    return projection.living(projection.delta(tables.decode_events(came), _USER), _USER)
+
+
 @add("stream_delete", f"SELECT user_id FROM ({LAST}) WHERE rn = 1 AND event_type = 'error'")
 def stream_delete(spark, d):
     good, _ = projection.split_events(_changelog(spark, d), _USER)

@@ -6,6 +6,8 @@ import math
 import uuid
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Weights of the fused score, half-life of the recency decay, trade-off of diversification.
@@ -49,11 +51,12 @@ def literal_vector(v: Sequence[float]) -> Column:
 def centroids(df: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:
     """For each group the mean of its normalised vectors, not normalised again; vectors without magnitude are left out.
 
-    Sums are taken by position, so a group is never gathered; only its one mean is.
+    Sums are taken by whole vectors, so a task sends one of each group on. Where a group has vectors of several lengths,
+    the commonest length holds (of two, the greater).
     """
-    parts = df.select(*keys, F.posexplode(normalised(F.col(vector))).alias("_at", "_x"))
-    means = parts.groupBy(*keys, "_at").agg(F.avg("_x").alias("_x"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda p: p["_x"]).alias(out))
+    own = df.select(*keys, normalised(F.col(vector)).alias("_v")).where("_v IS NOT NULL")
+    means = own.groupBy(*keys, F.size("_v").alias("_n")).agg(Summarizer.mean(array_to_vector("_v")).alias("_mean"), F.count("*").alias("_rows"))
+    return means.groupBy(*keys).agg(F.max_by(vector_to_array("_mean"), F.struct("_rows", "_n")).alias(out))
 
 
 def decay(when: Column, now: Column) -> Column:

@@ -13,6 +13,22 @@ from ..schema import EntityType, camel
 CONTEXT_CHARS = 2000
 
 
+#: Texts that a model with a `many` method gets at once.
+EMBED_BATCH = 64
+
+
+def embed_all(embed: Callable[[str], Sequence[float]], texts: Sequence[str | None]) -> list[list[float] | None]:
+    """Vectors of texts, in batches if the model takes them; null and empty texts have none."""
+    own = [(i, x) for i, x in enumerate(texts) if isinstance(x, str) and x]
+    out: list[list[float] | None] = [None] * len(texts)
+    many = getattr(embed, "many", None)
+    for k in range(0, len(own), EMBED_BATCH):
+        part = own[k : k + EMBED_BATCH]
+        for (i, _), vector in zip(part, many([x for _, x in part]) if many else map(embed, [x for _, x in part])):
+            out[i] = list(vector)
+    return out
+
+
 def passage_frame(df: DataFrame, t: EntityType, property: str, embed: Callable[[str], Sequence[float]] | None = None, context: Callable[[str, str], str] | None = None) -> DataFrame:
     """(chunk_id, parent_id, field, chunk_index, text, <property>_vector, metadata) of one long column.
 
@@ -47,12 +63,20 @@ def passage_frame(df: DataFrame, t: EntityType, property: str, embed: Callable[[
     return rows.select(F.col("_c.id").alias("chunk_id"), "parent_id", F.lit(field).alias("field"), "chunk_index", F.col("_c.text").alias("text"), *vector, *[camel(m) for m in metadata + roles])
 
 
-def point_frame(df: DataFrame, t: EntityType, embed: Callable[[str], Sequence[float]], passages: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(point_id, key, payload, a vector for each embedded column, a centroid for each column with passages)."""
+def point_frame(df: DataFrame, t: EntityType, embed: Callable[[str], Sequence[float]], passages: dict[str, DataFrame] | None = None, records: DataFrame | None = None) -> DataFrame:
+    """(point_id, key, payload, a vector for each embedded column, a centroid for each column with passages).
+
+    records: the stored rows, of which owner and tenant are taken whatever df says; entities without one have none.
+    """
+    roles = [c for c in (t.owner_field, t.tenant_field) if c]
+    if records is not None and roles:
+        stored = records.select(F.col(f"`{t.key}`").cast("string").alias("_key"), *[F.col(f"`{c}`").alias(f"_{c}") for c in roles])
+        joined = df.join(stored, df[t.key].cast("string") == F.col("_key"), "left")
+        df = joined.select(*[F.col(f"`_{c}`").alias(c) if c in roles else F.col(f"`{c}`") for c in df.columns])
 
     @F.pandas_udf("array<double>")
     def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(embed(x)) if isinstance(x, str) and x else None for x in texts], dtype=object)
+        return pd.Series(embed_all(embed, texts.tolist()), dtype=object)
 
     @F.pandas_udf("long")
     def number(keys: pd.Series) -> pd.Series:

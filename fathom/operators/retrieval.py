@@ -49,12 +49,15 @@ def get_many(ctx: Context, type_name: str, keys: Sequence) -> DataFrame:
     rows = _visible(ctx, t)
     own, kind = F.col(f"`{t.key}`"), rows.schema[t.key].dataType
     if isinstance(kind, T.StringType):
+        # keys compare without case; most are stored in lower case or as asked, but any way of writing must be found
         on, hits = F.lower(own) == F.lower("requested_key"), rows.where(F.lower(own).isin(list(seen)))
     elif isinstance(kind, T.IntegralType):
         on, hits = own == F.col("requested_key").cast(kind), rows.where(own.isin([int(k) for k in wanted if k.lstrip("-").isdigit()]))
     else:
         on, hits = own == F.col("requested_key").cast(kind), rows.where(own.isin([F.lit(k).cast(kind) for k in wanted]))
-    # keys are unique, so there are at most as many hits as keys in the request; the filter reaches the scan
+    if not t.unique:
+        hits = hits.groupBy(own.alias("_key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("_row")).select("_row.*")
+    # one row a key, so there are at most as many hits as keys in the request; the filter reaches the scan
     return asked.join(F.broadcast(hits), on, "left").select("position", "requested_key", own.isNotNull().alias("found"), *rows.columns).orderBy("position")
 
 
@@ -67,6 +70,16 @@ def by_foreign_key(ctx: Context, type_name: str, column: str, value) -> DataFram
     return _visible(ctx, t).where(F.col(f"`{own.name}`") == F.lit(value))
 
 
+def _of_rows(ctx: Context, t: EntityType, r, target: EntityType, rows: DataFrame | None) -> DataFrame | None:
+    """The related rows of given rows, before anything is nested into them; None for all."""
+    if rows is None:
+        return None
+    own, other = {"one_to_many": (t.key, r.key)}.get(r.kind, (r.key, target.key))
+    wanted = rows.select((F.explode(rows[own]) if r.kind == "many_to_many" else rows[own]).alias("_wanted"))
+    related = _visible(ctx, target)
+    return related.join(wanted, related[other] == F.col("_wanted"), "left_semi")
+
+
 def with_relations(ctx: Context, type_name: str, rows: DataFrame | None = None, depth: int = 1) -> DataFrame:
     """rows (all that are visible, if None) with each relation nested under its name, depth levels deep.
 
@@ -81,7 +94,7 @@ def with_relations(ctx: Context, type_name: str, rows: DataFrame | None = None,
         target = ctx.registry.get(r.target)
         if target is None or ctx.limit(target) is None:
             continue
-        related = with_relations(ctx, r.target, depth=depth - 1)
+        related = with_relations(ctx, r.target, _of_rows(ctx, t, r, target, rows), depth - 1)
         packed = F.struct(*[F.col(f"`{c}`") for c in related.columns])
         if r.kind in ("many_to_one", "one_to_one"):
             other = related.select(F.col(f"`{target.key}`").alias("_key"), packed.alias(r.name))

@@ -6,8 +6,12 @@ import hashlib
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
 from ..dsl import Clause, Logic
 from ..errors import QueryError, UnavailableError
@@ -17,6 +21,8 @@ from ..schema import EntityType, camel
 from .relational import Context
 
 OVER_FETCH = 4
+#: Bytes of the query vectors that a worker gets at once.
+QUERY_BYTES = 8 << 20
 
 
 class HashingEmbedder:
@@ -38,10 +44,22 @@ class HashingEmbedder:
 class VectorStore:
     """Points of each type: (key, <property>_vector, <property>_centroid, payload columns) and passages of each."""
 
-    points: dict[str, DataFrame]
+    points: dict[str, DataFrame | Callable[[], DataFrame]]
     passages: dict[str, DataFrame]
     embed: Callable[[str], Sequence[float]]
 
+    def points_of(self, t: EntityType) -> DataFrame | None:
+        """The points of a type; None if there are none or they cannot be read now."""
+        own = self.points.get(t.name.lower())
+        try:
+            return own() if callable(own) else own
+        except Exception:
+            return None
+
+    def dimension(self) -> int:
+        """How many numbers the model gives, by a probe."""
+        return len(self.embed("probe"))
+
 
 def top_k(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str, where: Column | None = None) -> DataFrame:
     """The k rows nearest by cosine, with their score; ties by key. Filters come before the ranking."""
@@ -51,17 +69,72 @@ def top_k(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str,
 
 
 def search_batch(queries: DataFrame, df: DataFrame, vector: str, k: int, key: str, query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """The k nearest rows for each of a bounded set of query vectors, exactly: (query_id, key, score, rank).
+    """The k nearest rows for each query vector, exactly: (query_id, key, score, rank). Ties by key.
 
-    Queries are sent to every partition of df (their number is the caller's, checked by the planner's broadcast); each
-    partition's candidates are cut by a window before the shuffle (WindowGroupLimit).
+    Queries go to the workers in blocks of at most QUERY_BYTES, each one reading of df; a batch of rows is scored against a
+    block by one product of matrices and only its best rows for each query leave the worker.
     """
-    from pyspark.sql import Window
-
-    q = queries.select(query_key, query_vector)
-    scored = df.crossJoin(F.broadcast(q)).select(query_key, key, V.cosine(F.col(f"`{vector}`"), F.col(query_vector)).alias("score")).where("score IS NOT NULL")
+    bytes_each = queries.agg(F.max(F.size(query_vector)).alias("n")).first().n or 1
+    rows = queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector)
+    schema = T.StructType([queries.schema[query_key], df.schema[key], T.StructField("score", T.DoubleType())])
+    size = max(1, QUERY_BYTES // (8 * bytes_each))
+    block, parts = [], []
+
+    def scored(own: list) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast((pa.array([r[0] for r in own], _arrow(schema[0].dataType)), [r[1] for r in own]))
+        return df.where(F.col(f"`{vector}`").isNotNull()).select(F.col(f"`{key}`"), V.doubles(F.col(f"`{vector}`"))).mapInArrow(_nearest(shared, k, schema.names), schema)
+
+    for row in rows.toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            parts.append(scored(block))
+            block = []
+    if block or not parts:
+        parts.append(scored(block))
+    found = reduce(DataFrame.unionAll, parts)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key)))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def _nearest(shared, k: int, names: list[str]):
+    """Batches (key, vector) to (query, key, score): each batch's k best for each query, and those that tie with the last."""
+
+    def run(batches):
+        ids, vectors = shared.value
+        lengths = {}
+        for i, v in enumerate(vectors):
+            lengths.setdefault(len(v), []).append(i)
+        asked = {n: (np.array(rows), _units(np.array([vectors[i] for i in rows], float))) for n, rows in lengths.items()}
+        for batch in batches:
+            found = batch.column(1)
+            sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+            for n, (which, queries) in asked.items():
+                rows = np.flatnonzero(sizes == n)
+                if not len(rows) or not n:
+                    continue
+                own = _units(found.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), n))
+                scores = own @ queries.T
+                for column, query in enumerate(which):
+                    s = scores[:, column]
+                    fine = np.flatnonzero(~np.isnan(s))
+                    if len(fine) > k:
+                        fine = fine[s[fine] >= np.partition(s[fine], -k)[-k]]
+                    if len(fine):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(fine), query))), batch.column(0).take(pa.array(rows[fine])), pa.array(s[fine])], names)
+
+    return run
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; of NaN if a row has no magnitude."""
+    norms = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norms > 0, norms, np.nan)
 
 
 def decay_field(t: EntityType) -> str | None:
@@ -109,7 +182,7 @@ def similar(ctx: Context, store: VectorStore, t: EntityType, prop: str, text: st
         raise QueryError(f"'{prop}' is not an embedded property of {t.name}")
     if ctx.limit(t) is None:
         return ctx.frames[t.name.lower()].withColumn("score", F.lit(0.0)).where(F.lit(False))
-    points = store.points.get(t.name.lower())
+    points = store.points_of(t)
     if points is None:
         return ctx.frames[t.name.lower()].withColumn("score", F.lit(0.0)).where(F.lit(False))
     try:
@@ -148,9 +221,13 @@ def passages(ctx: Context, store: VectorStore, t: EntityType, prop: str, text: s
         name = "parent_id" if c.field.lower() == t.key.lower() else camel(t.column(c.field).name)
         rows = rows.where(F.coalesce(F.col(f"`{name}`") == predicates.literal(c.value), F.lit(False)))
     vector, k = f"{camel(own.name)}_vector", max(1, k)
-    query = list(store.embed(text))
+    try:
+        query = list(store.embed(text))
+    except Exception as e:
+        raise UnavailableError("the embedding model cannot be reached") from e
     hits = top_k(rows.where(F.col("field") == own.name), vector, query, OVER_FETCH * k, "chunk_id")
-    points = store.points.get(t.name.lower())
+    # without the parents' points there is no centroid signal, but passages
+    points = store.points_of(t)
     centroid = f"{camel(own.name)}_centroid"
     if points is not None and centroid in points.columns:
         hits = hits.join(points.select(F.col(f"`{t.key}`").cast("string").alias("parent_id"), F.col(f"`{centroid}`")), "parent_id", "left")

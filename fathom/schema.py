@@ -84,6 +84,7 @@ class EntityType:
     owner_field: str | None = None
     table: str = ""
     description: str = ""
+    unique: bool = True  # whether no two rows have one key
 
     @property
     def table_name(self) -> str:

@@ -16,6 +16,10 @@ KEYS = {
 }
 
 
+#: Tables of which several rows can have one key.
+REPEATED = {"lineitem", "conversations"}
+
+
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return share_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +30,7 @@ def load(spark: SparkSession, sf_dir: str, names: Iterable[str], **types: Entity
     for name in names:
         df = parquet(spark, sf_dir, name)
         frames[name] = df
-        registry.register(types.get(name) or EntityType.of_frame(name, KEYS[name], df))
+        registry.register(types.get(name) or EntityType.of_frame(name, KEYS[name], df, unique=name not in REPEATED))
     return registry, frames
 
 
