@@ -87,7 +87,26 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-#: The other operators are beyond SQL: slots and shards of op6 need a CRC-32 that DuckDB lacks, the rest code.
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8, four bits at a time."""
+    table = []
+    for nibble in range(16):
+        for _ in range(4):
+            nibble = nibble >> 1 ^ (0xEDB88320 if nibble & 1 else 0)
+        table.append(nibble)
+    step = lambda a: f"xor(({a}) >> 4, {table}[(({a}) & 15) + 1])"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda a, b: {step(step('xor(a, b)'))}), 4294967295)"
+
+
+def _rendezvous(shards: int) -> str:
+    """SQL for the shard of a document among so many of equal weight."""
+    return f"(SELECT CAST(arg_min(k, -ln((('0x' || substr(md5(k || ':' || doc_id), 1, 13))::BIGINT + 0.5) / {1 << 52})) AS INTEGER) FROM range({shards}) t(k))"
+
+
+#: The other operators are beyond SQL.
 ORACLE_SQL = {
     "op2_line_dedup": f"""
         WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
@@ -129,6 +148,11 @@ ORACLE_SQL = {
         least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN least ON a = d.doc_id
     """,
+    "op6_sharding": f"""
+        WITH sized AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+        dealt AS (SELECT *, {_rendezvous(8)} AS shard, {_rendezvous(9)} AS grown_shard, substr(md5('slot:' || doc_id || ':' || text_crc32), 1, {sharding.DIGITS}) AS part FROM sized)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM dealt
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
