@@ -52,8 +52,8 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     """The rows and columns of df without their hosts' boilerplate lines; chars_col, if it is there, is counted anew.
 
     Every row stays, with an empty text if no line is left. Lines compare without white space at their ends; blank
-    lines are never boilerplate and stay. A null host is a host of its own; a null text stays null. Repeated rows are
-    one page and all lose the same lines. With lang_col, lines are counted among the host's pages of one language; with
+    lines are never boilerplate and stay. A null host (or language) is one of its own; a null text stays null. Repeated
+    rows are one page and all lose the same lines; a line at the ratio itself stays. An empty table gives an empty one. With lang_col, lines are counted among the host's pages of one language; with
     class_col, rows of one class are one page.
     """
     host, found = scratch.fresh(df, "_host"), scratch.fresh(df, "_lines")

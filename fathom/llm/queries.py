@@ -28,8 +28,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the lines that its source repeats taken out."""
-    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+    """Each document without the lines that its source repeats among its documents of one language."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), ratio=line_dedup.LANGUAGE_RATIO, lang_col="lang").select("doc_id", "text", "n_chars")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,6 @@ QUERIES = {
 }
 
 
-
 def _crc32(text: str) -> str:
     """SQL for the CRC-32 of a text's UTF-8, four bits at a time."""
     table = []
@@ -109,16 +108,16 @@ def _rendezvous(shards: int) -> str:
 #: The other operators are beyond SQL.
 ORACLE_SQL = {
     "op2_line_dedup": f"""
-        WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
-        pages AS (SELECT source, count(DISTINCT text) AS total FROM documents GROUP BY 1),
+        WITH lines AS (SELECT doc_id, source, lang, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+        pages AS (SELECT source, lang, count(DISTINCT text) AS total FROM documents GROUP BY 1, 2),
         common AS (
-            SELECT l.source, trim(l.line, ' ' || chr(9) || chr(13)) AS line FROM lines l JOIN pages p ON l.source = p.source
-            WHERE trim(l.line, ' ' || chr(9) || chr(13)) <> '' GROUP BY 1, 2, p.total
-            HAVING count(DISTINCT l.text) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT l.text) > {line_dedup.RATIO} * p.total
+            SELECT l.source, l.lang, trim(l.line, ' ' || chr(9) || chr(13)) AS line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source AND l.lang IS NOT DISTINCT FROM p.lang
+            WHERE trim(l.line, ' ' || chr(9) || chr(13)) <> '' GROUP BY 1, 2, 3, p.total
+            HAVING count(DISTINCT l.text) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT l.text) > {line_dedup.LANGUAGE_RATIO} * p.total
         ),
         kept AS (
             SELECT doc_id, string_agg(l.line, chr(10) ORDER BY place) AS text FROM lines l
-            LEFT JOIN common c ON l.source = c.source AND trim(l.line, ' ' || chr(9) || chr(13)) = c.line WHERE c.line IS NULL GROUP BY 1
+            LEFT JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.lang IS NOT DISTINCT FROM c.lang AND trim(l.line, ' ' || chr(9) || chr(13)) = c.line WHERE c.line IS NULL GROUP BY 1
         )
         SELECT d.doc_id, coalesce(k.text, '') AS text, length(coalesce(k.text, '')) AS n_chars FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
