@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import authz, dsl, session
+from . import annotated, authz, dsl, session
 from .errors import DeniedError, PreconditionError, QueryError, UnavailableError
 from .operators import facets, grouping, pipeline, retrieval, search, similarity, writes
 from .operators.relational import Context
@@ -56,7 +56,7 @@ class Engine:
         """The rows that a type began with, and over them what the log says: a plan of one size, however many writes there were."""
         base, t = self.bases[name], self.registry.get(name)
         written = self.log.path is not None or any(e[1].lower() == name for e in self.log.held)
-        self.frames[name] = projection.merge(base, self.log.events(), _stored(t, base)) if t is not None and written else base
+        self.frames[name] = projection.merge(base, self.log.events(), _stored(t, base), projection.RECORDS) if t is not None and written else base
 
     def _limits(self, caller: authz.Caller | None) -> dict | None:
         if self.rules is None:
@@ -102,6 +102,28 @@ class Engine:
     def related(self, type_name: str, depth: int = 1, caller: authz.Caller | None = None) -> DataFrame:
         return retrieval.with_relations(self.context(caller), type_name, depth=depth)
 
+    def health(self) -> dict[str, str]:
+        """`ok`, or what is wrong, of each part that requests need."""
+        checks = {
+            "spark": lambda: self.spark.range(1).count(), "log": lambda: self.log.events().limit(1).count(),
+            "columnar": lambda: None if self.columnar else "switched off", "vectors": lambda: None if self.vectors is not None else "not there",
+        }
+        out = {}
+        for name, check in checks.items():
+            try:
+                found = check()
+                out[name] = found if isinstance(found, str) else "ok"
+            except Exception as e:
+                out[name] = f"{type(e).__name__}: {e}"[:200]
+        return out
+
+    def reconcile(self, type_name: str, projected: projection.Projection) -> int:
+        """Project every row of a type anew; how many."""
+        t = self.context().type(type_name)
+        rows = self.frames[t.name.lower()]
+        projected.apply(projection.reconcile(rows, t, above=max(projected.top_offset(), 0)))
+        return rows.count()
+
     def _vectors(self) -> similarity.VectorStore:
         if self.vectors is None:
             raise UnavailableError("there is no vector store")
@@ -150,7 +172,7 @@ class Engine:
 
     def _write(self, op: str, t: EntityType, key: str, payload: str) -> None:
         """One append to the log, then a first try to publish it; what fails is left to the log's poller."""
-        targets = projection.COLUMNAR * t.columnar | projection.VECTOR * t.vectorised | projection.ENRICHMENT * any(c.enrichment for c in t.columns)
+        targets = projection.RECORDS | projection.COLUMNAR * t.columnar | projection.VECTOR * t.vectorised | projection.ENRICHMENT * any(c.enrichment for c in t.columns)
         self.log.append(op, t.name, [(key, payload)], targets, dt.datetime.now(dt.timezone.utc))
         self._refresh(t.name.lower())
         if self.produce is not None:
@@ -163,16 +185,23 @@ def _stored(t: EntityType, base: DataFrame) -> EntityType:
 
 
 class Coordinator:
-    """One type's entities for an application: rows as dicts."""
+    """One type's entities for an application: as dicts, or as instances of an annotated dataclass."""
+
+    def __init__(self, engine: Engine, type_name: str | type, caller: authz.Caller | None = None, make: Callable[[dict], object] = dict) -> None:
+        self.engine, self.caller = engine, caller
+        own = isinstance(type_name, type)
+        self.type = type_name.__name__ if own else type_name
+        self.make = annotated.maker(type_name) if own else make
 
-    def __init__(self, engine: Engine, type_name: str, caller: authz.Caller | None = None, make: Callable[[dict], object] = dict) -> None:
-        self.engine, self.type, self.caller, self.make = engine, type_name, caller, make
+    def persist(self, row) -> str:
+        return self.engine.persist(self.type, self._row(row), self.caller)
 
-    def persist(self, row: dict) -> str:
-        return self.engine.persist(self.type, row, self.caller)
+    def update(self, row) -> None:
+        self.engine.persist(self.type, self._row(row), self.caller, update=True)
 
-    def update(self, row: dict) -> None:
-        self.engine.persist(self.type, row, self.caller, update=True)
+    @staticmethod
+    def _row(row) -> dict:
+        return row if isinstance(row, dict) else annotated.row_of(row)
 
     def delete(self, key) -> bool:
         return self.engine.delete(self.type, key, self.caller)

@@ -21,6 +21,8 @@ from .letters import DeadLetters
 EVENT_SCHEMA = "op string, type string, key string, payload string, targets int, offset long, occurred_at timestamp"
 # Bits of the stores that an event is meant for.
 COLUMNAR, VECTOR, ENRICHMENT = 1, 2, 4
+#: The bit of the rows that the log itself comes to, whatever stores they go to.
+RECORDS = 8
 MAX_ATTEMPTS = 3
 #: Deltas that are folded into a new base.
 FOLD_AFTER = 16
