@@ -30,8 +30,13 @@ def local(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return configure(builder.config(map=SETTINGS).getOrCreate())
 
 
+#: Bytes of rows that a Python worker gets at once; one row can be more.
+BATCH_BYTES = 16 << 20
+
+
 def share_code(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, whatever folder the driver was started in."""
+    """Let Python workers import this package from where the driver has it, whatever folder the driver was started in, and get rows in batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
