@@ -45,7 +45,17 @@ def normalised(v: Column) -> Column:
 
 
 def literal_vector(v: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+    """An array of doubles, parsed at once: a call for each number would take longer than most searches."""
+    return F.expr("array(" + ",".join(f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)!r}')" for x in v) + ")")
+
+
+def cosine_to(a: Column, v: Sequence[float]) -> Column:
+    """cosine() of a column and one vector, whose magnitude is taken once."""
+    total = 0.0
+    for x in v:
+        total += float(x) * float(x)
+    sizes = norm(a) * F.lit(math.sqrt(total))
+    return F.when((F.size(a) == F.lit(len(v))) & (sizes > 0), dot(a, literal_vector(v)) / sizes)
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:

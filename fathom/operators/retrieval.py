@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import QueryError
 from ..schema import EntityType
@@ -31,6 +32,20 @@ def get_json(ctx: Context, type_name: str, key) -> DataFrame:
     return get(ctx, type_name, key).select(F.col(f"`{t.key}`").alias("key"), F.to_json(F.struct("*")).alias("json"))
 
 
+#: Keys of integer columns: what a long can hold.
+INTEGER = re.compile(r"-?[0-9]{1,18}")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _in(column: str, literals: Iterable[str]) -> Column:
+    """An IN list that is parsed at once: a call for each key would take longer than the read."""
+    listed = ",".join(literals)
+    return F.expr(f"{column} IN ({listed})") if listed else F.lit(False)
+
+
 def get_many(ctx: Context, type_name: str, keys: Sequence) -> DataFrame:
     """(position, requested_key, found, the columns): one row for each distinct key, in the order of the request.
 
@@ -50,9 +65,9 @@ def get_many(ctx: Context, type_name: str, keys: Sequence) -> DataFrame:
     own, kind = F.col(f"`{t.key}`"), rows.schema[t.key].dataType
     if isinstance(kind, T.StringType):
         # keys compare without case; most are stored in lower case or as asked, but any way of writing must be found
-        on, hits = F.lower(own) == F.lower("requested_key"), rows.where(F.lower(own).isin(list(seen)))
+        on, hits = F.lower(own) == F.lower("requested_key"), rows.where(_in(f"lower(`{t.key}`)", map(_quoted, seen)))
     elif isinstance(kind, T.IntegralType):
-        on, hits = own == F.col("requested_key").cast(kind), rows.where(own.isin([int(k) for k in wanted if k.lstrip("-").isdigit()]))
+        on, hits = own == F.col("requested_key").cast(kind), rows.where(_in(f"`{t.key}`", (f"{k}L" for k in wanted if INTEGER.fullmatch(k))))
     else:
         on, hits = own == F.col("requested_key").cast(kind), rows.where(own.isin([F.lit(k).cast(kind) for k in wanted]))
     if not t.unique:

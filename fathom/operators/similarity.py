@@ -64,7 +64,7 @@ class VectorStore:
 def top_k(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str, where: Column | None = None) -> DataFrame:
     """The k rows nearest by cosine, with their score; ties by key. Filters come before the ranking."""
     rows = df if where is None else df.where(where)
-    scored = rows.withColumn("score", V.cosine(F.col(f"`{vector}`"), V.literal_vector(query))).where("score IS NOT NULL")
+    scored = rows.withColumn("score", V.cosine_to(F.col(f"`{vector}`"), query)).where("score IS NOT NULL")
     return scored.orderBy(F.desc("score"), F.asc(f"`{key}`")).limit(max(1, k))
 
 
@@ -163,7 +163,7 @@ def _filter(ctx: Context, t: EntityType, df: DataFrame, clauses: Sequence[Clause
 
 def rank(hits: DataFrame, key: str, centroid: str | None, query: Sequence[float], when: str | None, now, diversity: str | None, k: int) -> DataFrame:
     """hits with their fused score, diversified down to k; reported scores are the fused ones."""
-    signal = V.cosine(F.col(f"`{centroid}`"), V.literal_vector(query)) if centroid else None
+    signal = V.cosine_to(F.col(f"`{centroid}`"), query) if centroid else None
     recency = V.decay(F.col(f"`{when}`"), F.lit(now)) if when else None
     fused = hits.withColumn("score", V.fuse(F.col("score"), signal, recency)).orderBy(F.desc("score"), F.asc(f"`{key}`"))
     if diversity is None:

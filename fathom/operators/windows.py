@@ -19,10 +19,15 @@ BY_RANGE = {Window.ROW_NUMBER, Window.RANK, Window.DENSE_RANK, Window.RUNNING_SU
 NEEDS_FIELD = {Window.RUNNING_SUM, Window.RUNNING_AVG, Window.LAG, Window.LEAD}
 
 
+RANKS = {Window.ROW_NUMBER: F.row_number, Window.RANK: F.rank, Window.DENSE_RANK: F.dense_rank}
+SUMS = {Window.RUNNING_SUM: F.sum, Window.RUNNING_AVG: F.avg}
+NEIGHBOURS = {Window.LAG: F.lag, Window.LEAD: F.lead}
+
+
 def function(kind: Window, own: Column | None, offset: int) -> Column:
-    if kind is Window.LAG or kind is Window.LEAD:
-        return (F.lag if kind is Window.LAG else F.lead)(own, max(1, offset))
-    return {Window.ROW_NUMBER: F.row_number, Window.RANK: F.rank, Window.DENSE_RANK: F.dense_rank}[kind]() if own is None else {Window.RUNNING_SUM: F.sum, Window.RUNNING_AVG: F.avg}[kind](own)
+    if kind in RANKS:
+        return RANKS[kind]()
+    return SUMS[kind](own) if kind in SUMS else NEIGHBOURS[kind](own, max(1, offset))
 
 
 def estimated_bytes(df: DataFrame) -> int:

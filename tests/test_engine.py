@@ -300,3 +300,15 @@ def test_many_writes_keep_one_plan(spark):
     for k in range(6):
         own.persist("Article", {"Title": str(k)})
     assert size() < 1.2 * first and own.search(query("Article").build()).count() == 8
+
+
+def test_keys_with_signs_are_found(spark):
+    t = EntityType("K", "Id", (Column("Id"),))
+    odd = ["it's", "a\\b", 'q"uote', "x'; --", "Ünï", "%_", ""]
+    own = Engine(spark).register(t, spark.createDataFrame([(k,) for k in odd], t.spark_schema()))
+    assert [r.Id for r in own.get_many("K", odd).collect()] == odd
+    assert [r.found for r in own.get_many("K", ["IT'S", "a\\\\b", "\\"]).collect()] == [True, False, False]
+    n = EntityType("N", "Id", (Column("Id", "int64"),))
+    many = Engine(spark).register(n, spark.createDataFrame([(1,), (-7,), (10**17,)], n.spark_schema()))
+    assert [r.Id for r in many.get_many("N", ["x", "-7", "99999999999999999999", str(10**17), "1"]).collect()] == [None, -7, None, 10**17, 1]
+    assert many.get_many("N", ["x"]).first().found is False
