@@ -1,5 +1,6 @@
 import hashlib
 import html
+import math
 import random
 import re
 
@@ -125,6 +126,35 @@ def test_quality_odd_rows(spark, odd):
     assert quality.fit(odd, repeated).bias > 0
 
 
+def plain_features(text):
+    """Every n-gram of bytes inside a word and its borders, every word, every repetition, one by one."""
+    data = [0x20 if b in b" \t\n\r\x0b\x0c" else b for b in b" " + text + b" "]
+    found = []
+    for n in quality.NGRAMS:
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if 0x20 in gram[1:-1] or (n == 2 and gram == [0x20, 0x20]):
+                continue
+            h = 0
+            for b in gram:
+                h = (h * 0x100000001B3 + b + 1) % 2**64
+            found.append((h * 0x9E3779B97F4A7C15) % 2**64 >> (65 - quality.BUCKETS.bit_length()))
+    words = [w.lower() for w in re.findall(rb"[^ \t-\r]+", text)]
+    found += [int(quality._bucket(quality.word_hashes(w))[0]) for w in words]
+    return found + [quality.REPEATED] * (quality.REPEAT_WEIGHT * sum(a == b for a, b in zip(words, words[1:])))
+
+
+def test_quality_scores_equal_plain_ones(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").limit(25).collect()] + [(-1, ""), (-2, "a a  a\n\nB b")]
+    scores = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        found = plain_features(text.encode())
+        logit = model.bias + sum(float(model.gain[k]) for k in found) / (len(found) + quality.PRIOR)
+        assert math.isclose(scores[i], 1 / (1 + math.exp(-logit)), rel_tol=1e-6), i
+
+
 def test_quality_pieces():
     """Pieces change no feature, in words without a space neither."""
     from collections import Counter
