@@ -2,8 +2,8 @@
 
 An item leaks if a local alignment of its words with a text's scores at least a part of the item's length. Such an
 alignment has so many words side by side in both (`needed`) that, by a pigeonhole argument, the item's commonest
-two-word seeds can be left out, half of that number, and the other half is still found close to one diagonal. So the
-rare seeds lose no alignment, however the edits lie.
+two-word seeds can be left out, a third of that number, and the other two thirds are still found close to one diagonal. So
+the rare seeds lose no alignment, however the edits lie.
 
 The corpus is read once to count the texts that hold each n-gram of an item; the rarer ones are seeds. A second reading
 finds the seeds' places; these are joined to items by key, and places near one diagonal are counted. Where enough meet,
@@ -83,10 +83,12 @@ def _item_grams(items: DataFrame, cut: float) -> DataFrame:
             own = [words(x.as_py()) for x in batch.column(2)]
             grams = [ngram_hashes(w, NGRAM) for w in own]
             must = [needed(len(w), cut) if len(w) > NGRAM else 1 for w in own]
-            common = [n // 2 for n in must]
+            common = [n // 3 for n in must]
+            # places are counted by the bits of a word, so of a long item several can count as one
+            hits = [-(-(n - c) // max(1, -(-len(g) // 64))) for n, c, g in zip(must, common, grams)]
             spread = [math.ceil(len(w) - least_score(len(w), cut)) if len(w) else 0 for w in own]
             lists = [pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64())) for part in (own, grams)]
-            numbers = [pa.array(x, pa.int64()) for x in (spread, [n - c for n, c in zip(must, common)], common)]
+            numbers = [pa.array(x, pa.int64()) for x in (spread, hits, common)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, *numbers], schema.names)
 
     return items.mapInArrow(run, schema).where("size(words) > 0")
@@ -220,8 +222,8 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_i
         met = places.withColumn("salt", F.pmod("a", F.lit(SALTS)).cast("int")).join(dealt, ["gram", "salt"])
     # hits whose diagonals spread by no more than a part's width lie in one pair of parts
     part = F.floor((F.col("place") - F.col("at")) / (F.col("spread") + 1))
-    near = met.select("a", "b", "item", "hits", F.explode(F.array(part - 1, part)).alias("bin"))
-    near = near.groupBy("a", "b", "item", "hits", "bin").count().where("count >= hits")
+    near = met.select("a", "b", "item", "hits", F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bit"), F.explode(F.array(part - 1, part)).alias("bin"))
+    near = near.groupBy("a", "b", "item", "hits", "bin").agg(F.bit_count(F.bit_or("bit")).alias("met")).where("met >= hits")
     found = keep(near.groupBy("a", "b", "item").agg(F.array_sort(F.collect_set("bin")).alias("bins")))
     held = keep(found.select("a", "b").distinct())
     kind, item_kind = docs.schema[id_col].dataType, items.schema[item_id].dataType

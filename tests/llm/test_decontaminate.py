@@ -44,7 +44,7 @@ def edited(words, kind, rate, rng):
 def corpus(seed):
     rng = random.Random(seed)
     noise = lambda n: [rng.choice(RARE) if rng.random() < 0.5 else rng.choice(COMMON) for _ in range(n)]
-    items = [(k, " ".join(rng.choice(RARE) if rng.random() < 0.7 else rng.choice(COMMON) for _ in range(rng.choice([2, 5, 8, 14, 20, 48, 60])))) for k in range(50)]
+    items = [(k, " ".join(rng.choice(RARE) if rng.random() < 0.7 else rng.choice(COMMON) for _ in range(rng.choice([2, 5, 8, 14, 20, 48, 60, 150])))) for k in range(50)]
     # the leak's only seeds are its common words
     items.append((999, " ".join(COMMON) + " " + " ".join(rng.choice(RARE) for _ in range(36))))
     docs = []
