@@ -30,7 +30,7 @@ RATE, SEED = 0.1, 1
 #: Symbols from which a word is processed by a heap, and words in one numpy batch.
 LONG_WORD, BATCH_WORDS = 192, 40_000
 #: Words whose undropped segmentation a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 #: Rows of an Arrow batch that are encoded at once.
 SLICE_ROWS = 128
 _CHUNK = re.compile(" *[^ ]+| +")
@@ -407,6 +407,8 @@ def encode(df: DataFrame, path: str, rate: float = RATE, seed: int = SEED, id_co
                 flat = pa.array(np.concatenate(coded).astype(np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, pa.array(counts)], [*kept, ids_col, count_col])
+        # a worker lives on after its task, and what it keeps would stay beside what comes next
+        own.kept = Kept()
 
     return own.mapInArrow(run, schema)
 
