@@ -83,6 +83,36 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / (n + PRIOR), -50, 50))))
 
 
+class Bags:
+    """The features of texts, each once with its part, in large arrays; thousands of small ones would stay with the driver when they are gone."""
+
+    # so large that the system gets them back when they are gone; only what is filled takes memory
+    SIZE = 10_000_000
+
+    def __init__(self) -> None:
+        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.places: list[tuple[int, int, int]] = []
+        self.used = self.SIZE
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def add(self, found: np.ndarray) -> None:
+        ids, counts = np.unique(found, return_counts=True)
+        if not self.chunks or self.used + len(ids) > len(self.chunks[-1][0]):
+            size = max(self.SIZE, len(ids))
+            self.chunks.append((np.empty(size, np.int32), np.empty(size, np.float32)))
+            self.used = 0
+        at, self.used = self.used, self.used + len(ids)
+        own_ids, parts = self.chunks[-1]
+        own_ids[at : self.used], parts[at : self.used] = ids, counts / (counts.sum() + PRIOR)
+        self.places.append((len(self.chunks) - 1, at, self.used))
+
+    def get(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        chunk, at, end = self.places[i]
+        return self.chunks[chunk][0][at:end], self.chunks[chunk][1][at:end]
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Fit vectors and output weights. With one class only, the model is that class's smoothed share."""
     y = np.array(labels, np.int64)
@@ -91,14 +121,13 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (2, DIM)).astype(np.float32), np.log([1 - share, share])
     if len(set(labels)) == 2:
-        bags = []
+        bags = Bags()
         for text in texts:
-            ids, counts = np.unique(np.concatenate(list(features(text.encode()))), return_counts=True)
-            bags.append((ids.astype(np.int32), (counts / (counts.sum() + PRIOR)).astype(np.float32)))
+            bags.add(np.concatenate(list(features(text.encode()))))
         steps, done = epochs * len(bags), 0
         for _ in range(epochs):
             for i in rng.permutation(len(bags)):
-                ids, part = bags[i]
+                ids, part = bags.get(i)
                 rate = 1 - done / steps
                 done += 1
                 rows = vectors[ids]
@@ -155,8 +184,8 @@ def keep_good(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """The rows of docs that score at least cut, with all their columns; repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        return texts.map(lambda x: shared.value.score(x) >= cut)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(x.as_py()) >= cut for x in texts], pa.bool_())
 
     return docs.where(good(F.coalesce(docs["text"], F.lit(""))))
