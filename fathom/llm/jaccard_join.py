@@ -238,23 +238,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return dealt.mapInArrow(_against_hub(width, percent), "a long, b long")
 
 
-def _shared_keys(keyed: DataFrame) -> DataFrame:
-    """(id, key, size): the rows (id, key) of keys that several have, and how many.
+def _shared_keys(keyed: DataFrame) -> tuple[DataFrame, str]:
+    """(id, key, size): the rows (id, key) of keys that several have, and how many; and the scratch table that they are read from.
 
-    A key's rows are counted in one window, but for the keys that a sample of the ids shows to be the hottest, at most
-    HOT_PART of them: these are counted by partial sums. Which way a key goes changes no count.
+    Rows are counted in windows by key; those of the keys that a sample of the ids shows to be the hottest, at most
+    HOT_PART of them, are dealt to several windows each, and their sizes are summed up. Which way a key goes changes no
+    count.
     """
+    spark = keyed.sparkSession
     sample = keyed.where(F.pmod(F.xxhash64("id"), F.lit(round(1 / HOT_SAMPLE))) == 0).groupBy("key").count()
     found = sample.where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count")).limit(scratch.HOT_PART)
-    hot = [r.key for r in found.select("key").collect()]
-    cold = keyed.where(~F.col("key").isin(hot)) if hot else keyed
-    counted = cold.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    if not hot:
-        return counted
-    # at most HOT_PART keys
-    own = keyed.where(F.col("key").isin(hot))
-    sizes = own.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return counted.unionByName(own.join(F.broadcast(sizes), "key"))
+    hot = spark.createDataFrame([(r.key, True) for r in found.select("key").collect()], "key long, hot boolean")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(scratch.SALTS))).otherwise(F.lit(0))
+    marked = keyed.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    counted = marked.withColumn("size", F.count("*").over(Window.partitionBy("key", salt))).where("hot OR size > 1")
+    table, at = scratch.keep(counted.select("id", "key", "size", "hot"))
+    sizes = table.where("hot").groupBy("key").agg(F.count("*").alias("whole"))
+    whole = table.join(F.broadcast(sizes), "key", "left").select("id", "key", F.coalesce("whole", "size").alias("size"))
+    return whole.where("size > 1"), at
 
 
 def _by_size(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
@@ -289,7 +290,7 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
     gone, gone_at = scratch.keep(classes.where("id <> rep").select("id").distinct())
     hint = F.broadcast if scratch.table_bytes(spark, gone_at) <= BROADCAST_BYTES else (lambda x: x)
     reps = full.join(hint(gone), "id", "left_anti")
-    shared, shared_at = scratch.keep(_shared_keys(reps.select("id", F.explode("keys").alias("key"))))
+    shared, shared_at = _shared_keys(reps.select("id", F.explode("keys").alias("key")))
 
     small = shared.where(f"size <= {PAIRS_UP_TO}")
     one, other = small.select("key", F.col("id").alias("a")), small.select("key", F.col("id").alias("b"))
