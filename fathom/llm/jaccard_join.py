@@ -40,8 +40,8 @@ FEATURE_ROWS, FEATURE_KEYS = 256, 1 << 20
 HOT_SAMPLE, HOT_LEAST = 1 / 64, 8
 #: Bits of the folded sketch that screens candidates.
 FOLD_BITS = 1024
-#: Classes other than the least are broadcast up to so many bytes on disk.
-BROADCAST_BYTES = 24 << 20
+#: Tables of ids are broadcast up to so many bytes on disk, pairs to verify up to so many; beyond, what they meet is shuffled too.
+BROADCAST_BYTES, PAIR_BYTES = 24 << 20, 8 << 20
 
 
 def most_apart(total: int, percent: int) -> int:
@@ -226,15 +226,16 @@ def _blocks(percent: int, low: int, high: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. A hub's pairs are dealt out HUB_ROWS to a task's group, each with the hub's text."""
+def _verified(pairs: DataFrame, at: str, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a scratch table that link. A hub's pairs are dealt out HUB_ROWS to a task's group, each with the hub's text."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
-    salted = salted.join(degree, "a").withColumn("salt", F.pmod("salt", "parts").cast("int"))
-    hubs = degree.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    own = hubs.join(texts, "id").select(F.col("id").alias("a"), "salt", F.lit(None).cast("long").alias("other"), "text")
-    others = salted.withColumnRenamed("b", "id").join(texts, "id").select("a", "salt", F.col("id").alias("other"), "text")
-    dealt = own.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("other").asc_nulls_first())
+    others = salted.join(degree, "a").select("a", F.pmod("salt", "parts").cast("int").alias("salt"), F.col("b").alias("other"), F.col("b").alias("id"))
+    own = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("other"), F.col("a").alias("id"))
+    asked = own.unionAll(others)
+    if scratch.table_bytes(pairs.sparkSession, at) <= PAIR_BYTES:
+        asked = F.broadcast(asked)
+    dealt = texts.join(asked, "id").select("a", "salt", "other", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("other").asc_nulls_first())
     return dealt.mapInArrow(_against_hub(width, percent), "a long, b long")
 
 
@@ -288,8 +289,7 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
     classes, classes_at = scratch.keep(grouped.select("id", "n", F.coalesce("rep", "id").alias("rep")))
     scratch.drop(spark, sets_at)
     gone, gone_at = scratch.keep(classes.where("id <> rep").select("id").distinct())
-    hint = F.broadcast if scratch.table_bytes(spark, gone_at) <= BROADCAST_BYTES else (lambda x: x)
-    reps = full.join(hint(gone), "id", "left_anti")
+    reps = full.join(scratch.small(gone, gone_at, BROADCAST_BYTES), "id", "left_anti")
     shared, shared_at = _shared_keys(reps.select("id", F.explode("keys").alias("key")))
 
     small = shared.where(f"size <= {PAIRS_UP_TO}")
@@ -307,15 +307,16 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
     pairs = pairs.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_apart(width, percent), "a long, b long")
     pairs, pairs_at = scratch.keep(pairs)
     needed, needed_at = scratch.keep(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct())
-    held, held_at = scratch.keep(docs.join(needed, "id").groupBy("id").agg(F.first("text").alias("text")))
-    edges, edges_at = scratch.keep(_verified(pairs, held, width, percent))
+    held, held_at = scratch.keep(docs.join(scratch.small(needed, needed_at, BROADCAST_BYTES), "id").groupBy("id").agg(F.first("text").alias("text")))
+    edges, edges_at = scratch.keep(_verified(pairs, pairs_at, held, width, percent))
 
     # parts whose members are not of one component yet go on in blocks, nearest partners first
     sizes, sizes_at = scratch.keep(large.join(screen, "id"))
     low, high, spent, kept_at = 0, FIRST_RANKS, [], [features_at, classes_at, edges_at]
     while True:
         roots, roots_at = components_table(edges)
-        labelled = sizes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
+        placed = scratch.small(roots.withColumnRenamed("node", "id"), roots_at, BROADCAST_BYTES)
+        labelled = sizes.join(placed, "id", "left").withColumn("label", F.coalesce("root", "id"))
         mixed = labelled.groupBy("key").agg(F.max("size").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
         mixed, mixed_at = scratch.keep(mixed.select("key", "size"))
         rest = _by_size(labelled, mixed, total).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -324,9 +325,10 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
         dealt = dealt.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") > F.col("o"), 1).otherwise(0).alias("side"), "id", "label", "n", "fold")
         dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
         found, found_at = scratch.keep(dealt.mapInArrow(_blocks(percent, low, high), "a long, b long"))
-        new, new_at = scratch.keep(_verified(found.where("b IS NOT NULL").distinct(), held, width, percent))
+        asked, asked_at = scratch.keep(found.where("b IS NOT NULL").distinct())
+        new, new_at = scratch.keep(_verified(asked, asked_at, held, width, percent))
         edges = edges.unionAll(new)
-        spent += [found_at, mixed_at, roots_at]
+        spent += [found_at, asked_at, mixed_at, roots_at]
         kept_at.append(new_at)
         if found.where("b IS NULL").isEmpty():
             break
@@ -345,17 +347,30 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
     must be integers (others are an error), a null id stays alone (component_id null). An empty table gives an empty
     result. Other columns are ignored, so their names cannot clash.
     """
+    return _components(df, width, percent, id_col, text_col)[0]
+
+
+def _components(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """jaccard_components() and the scratch table that it is read from."""
     spark = df.sparkSession
     classes, edges, used = links_and_classes(df, width, percent, id_col, text_col)
     roots, roots_at = components_table(edges)
     placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    out, _ = scratch.keep(placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id")))
+    out, at = scratch.keep(placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id")))
     scratch.drop(spark, *used, roots_at)
-    return out
+    return out, at
+
+
+def others(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, component_id), each once, of the ids that are not the least of their component; broadcast if small; and the scratch table that they are read from."""
+    found, at = _components(df, width, percent, id_col, text_col)
+    out, out_at = scratch.keep(found.where("component_id <> doc_id").select("doc_id", "component_id").distinct())
+    scratch.drop(df.sparkSession, at)
+    return scratch.small(out, out_at, BROADCAST_BYTES), out_at
 
 
 def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id is the least of its component, with all their columns; rows without id or words stay, rows that repeat a kept id too."""
     key = scratch.fresh(df, "_gone")
-    gone = jaccard_components(df, width, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    gone = others(df, width, percent, id_col, text_col)[0].select(F.col("doc_id").alias(key))
     return df.join(gone, df[id_col] == F.col(key), "left_anti")

@@ -41,6 +41,11 @@ def table_bytes(spark: SparkSession, path: str) -> int:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
+def small(df: DataFrame, path: str, most: int) -> DataFrame:
+    """A scratch table, marked for broadcast if it has at most so many bytes on disk."""
+    return F.broadcast(df) if table_bytes(df.sparkSession, path) <= most else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df does not have."""
     taken = {c.lower() for c in df.columns}

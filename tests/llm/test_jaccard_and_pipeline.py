@@ -178,3 +178,26 @@ def test_hot_keys_and_split_joins_change_nothing(spark, monkeypatch):
 def test_ids_must_be_integers(spark):
     with pytest.raises(ValueError):
         J.jaccard_components(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
+def test_copies_go_without_a_shuffle_of_texts(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    rows = near_copies(11, 4, 20)
+    groups = brute(rows, 5, 80)
+    df = spark.createDataFrame([(i, f"line {i % 9}\n{t}", "h", "en", 0) for i, t in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for small in (True, False):
+            if not small:
+                monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+                monkeypatch.setattr(J, "PAIR_BYTES", 0)
+            kept = J.one_of_each(spark.createDataFrame(rows, SCHEMA), 5, 80)
+            lines = P.without_boilerplate(spark, df, "")
+            assert {r.doc_id for r in kept.collect()} == {c for _, _, c in groups}
+            assert {r.doc_id: r.text for r in lines.collect()} == without_lines({r.doc_id: r.text for r in df.collect()}, {i: "h" for i, _ in rows})
+            plans = [x._jdf.queryExecution().executedPlan().toString() for x in (kept, lines)]
+            assert ["SortMergeJoin" in x for x in plans] == [not small, False]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
