@@ -319,7 +319,11 @@ def links_and_classes(df: DataFrame, width: int, percent: int, id_col: str, text
         labelled = sizes.join(placed, "id", "left").withColumn("label", F.coalesce("root", "id"))
         mixed = labelled.groupBy("key").agg(F.max("size").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
         mixed, mixed_at = scratch.keep(mixed.select("key", "size"))
-        rest = _by_size(labelled, mixed, total).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        if scratch.table_bytes(spark, mixed_at) <= BROADCAST_BYTES:
+            rest = labelled.join(F.broadcast(mixed.drop("size")), "key")
+        else:
+            rest = _by_size(labelled, mixed, total)
+        rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rest = rest.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
         dealt = dealt.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") > F.col("o"), 1).otherwise(0).alias("side"), "id", "label", "n", "fold")
